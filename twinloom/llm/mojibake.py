@@ -33,6 +33,8 @@ from twinloom.sources.tables import table
 #: One-byte encodings text may have been read in by mistake, and those it may have been written in.
 WRONG = ("cp1252", "latin-1", "cp1251", "cp437", "cp850", "mac_roman", "cp1250", "iso8859_15", "cp1253", "koi8_r")
 RIGHT = ("cp1252", "cp850", "mac_roman", "cp437")
+#: Log-prior against a text written in another encoding than UTF-8 or the common one-byte one.
+RARE_RIGHT = 8.0
 DEPTH = 3  # times a text may have been garbled through UTF-8
 HELD_OUT = 10  # one clean record in so many is kept for validation
 FALSE_COST = 20.0  # a changed clean word weighs as many missed garbled words
@@ -181,7 +183,7 @@ class Model:
             if self.rarest(r) > floor or len(r) < len(word):  # a wrong reading has some rarer character, or more of them
                 if own is None:
                     own = self.score(word)
-                gain = self.score(r) - own
+                gain = self.score(r) - own - RARE_RIGHT * (chain[-1] not in ("utf-8", "cp1252"))
                 if gain > top[0]:
                     top = (gain, chain, r)
         return top
