@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from twinloom.plans import bank
+
+QUERIES = bank.QUERIES
+ORACLE = bank.ORACLE
