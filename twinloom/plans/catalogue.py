@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinloom.plans import bank
+from twinloom.plans import bank, code, ledger
 
-QUERIES = bank.QUERIES
-ORACLE = bank.ORACLE
+QUERIES = bank.QUERIES | code.QUERIES | ledger.QUERIES
+ORACLE = bank.ORACLE | code.ORACLE | ledger.ORACLE
