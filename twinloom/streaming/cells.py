@@ -25,7 +25,11 @@ def run_cells(spark: SparkSession, path: str, window: str = "1 day", lateness: s
     """
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    one = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(files).isFile()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    # a stream watches folders: a single file is the one of its name in its folder
+    stream = reader.option("pathGlobFilter", files.getName()).parquet(files.getParent().toString()) if one else reader.parquet(path)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/cells/batch_no={number}")
