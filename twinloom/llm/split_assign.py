@@ -61,8 +61,8 @@ def components(edges: DataFrame, waves: tuple[int, ...] = WAVES) -> DataFrame:
             labelled, spent = whole, [whole]
     if labelled is None:
         raise ValueError("at least one wave is needed")
-    small = meets[0]
-    for m in meets[1:]:
+    small = labelled.select(F.col("node").alias("a"), F.col("label").alias("b")).limit(0)
+    for m in meets:
         small = small.unionByName(m)
     roots = stash(contract(small), "labels").withColumnRenamed("node", "label")
     return labelled.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
