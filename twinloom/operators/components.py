@@ -12,23 +12,33 @@ from twinloom.runtime import discard, stash
 def content_components(members: DataFrame) -> DataFrame:
     """``(node, root)``: nodes of ``members(node, key)`` connected by equal keys; the root is the least node.
 
-    Labels fall to the least label over a key and then jump to their label's
-    label, so long chains halve.  Null keys connect nothing.
+    In each round every root hooks to the least root that shares a key with it,
+    hooks are shortened by pointer jumping, and keys whose roots have become one
+    are dropped, so that the rounds shrink.  The rounds' hooks are then expanded,
+    last to first.  Null keys connect nothing.
     """
-    links = stash(members.where("key is not null").distinct(), "links")
-    labels = stash(members.select("node", F.col("node").alias("root")).distinct(), "labels")
+    links = stash(members.where("key is not null").select("key", F.col("node").alias("root")).distinct(), "links")
+    hooks: list[DataFrame] = []
     while True:
-        by_key = links.join(labels, "node").groupBy("key").agg(F.min("root").alias("least"))
-        by_node = links.join(by_key, "key").groupBy("node").agg(F.min("least").alias("least"))
-        lower = labels.join(by_node, "node", "left").select("node", "root", F.least("root", F.coalesce("least", "root")).alias("next"))
-        lower = stash(lower, "lower")
-        parent = lower.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        after = stash(lower.join(parent, "next", "left").select("node", F.coalesce("jump", "next").alias("root"), (F.coalesce("jump", "next") != F.col("root")).alias("moved")), "labels")
-        discard(labels, lower)
-        labels = after.select("node", "root")
-        labels._stash_path = after._stash_path
-        if not after.where("moved").limit(1).count():
-            return labels
+        least = links.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key", "least")
+        live = stash(links.join(least, "key"), "live")
+        discard(links)
+        if not live.limit(1).count():
+            break
+        hook = live.groupBy("root").agg(F.min("least").alias("next"))
+        for _ in range(2):
+            onward = hook.select(F.col("root").alias("next"), F.col("next").alias("jump"))
+            hook = hook.join(onward, "next", "left").select("root", F.coalesce("jump", "next").alias("next"))
+        hook = stash(hook, "hooks")
+        links = stash(live.join(hook, "root").select("key", F.col("next").alias("root")).distinct(), "links")
+        discard(live)
+        hooks.append(hook)
+    nodes = members.select("node").distinct()
+    final = nodes.select("node", F.col("node").alias("root")) if not hooks else hooks[-1].select(F.col("root").alias("node"), F.col("next").alias("root"))
+    for hook in reversed(hooks[:-1]):
+        later = final.select(F.col("node").alias("next"), F.col("root").alias("last"))
+        final = hook.join(later, "next", "left").select(F.col("root").alias("node"), F.coalesce("last", "next").alias("root"))
+    return nodes.join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root")) if hooks else final
 
 
 def fold_plan(sizes: list[tuple[int, int]], n_folds: int) -> list[tuple[int, int, int, list[int]]]:
