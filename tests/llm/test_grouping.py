@@ -133,6 +133,19 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert {tuple(r) for r in near_dup.near_duplicates(df).collect()} == brute_near(rows)
 
 
+@pytest.mark.parametrize("hot", [10**9, 3])
+def test_near_duplicates_of_large_families(spark, monkeypatch, hot):
+    """Tokens set aside and chained, or spread by salt: the same groups."""
+    monkeypatch.setattr(near_dup, "RUN", 2)
+    monkeypatch.setattr(near_dup, "HOT", hot)
+    rnd = random.Random(11)
+    h, m = code(rnd, 12), code(rnd, 12)
+    rows = [(i, edited(rnd, h, rnd.choice([0.01, 0.05, 0.15])), edited(rnd, m, rnd.choice([0.01, 0.05, 0.15]))) for i in range(40)]
+    rows += [(50 + i, h, code(rnd, 6)) for i in range(6)] + [(60 + i, code(rnd, 6), m) for i in range(6)]
+    df = spark.createDataFrame(rows, "record_id bigint, human_src string, llm_src string")
+    assert {tuple(r) for r in near_dup.near_duplicates(df).collect()} == brute_near(rows)
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "record_id bigint, human_src string, llm_src string")).collect() == []
 

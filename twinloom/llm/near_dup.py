@@ -12,13 +12,20 @@ pigeonhole principle a true pair shares at least ``min(K, t) / S`` tokens in
 some shard.  Candidates that pass are verified on the full texts, exactly.
 Verified group links are expanded to records over both columns, and linked
 records are consolidated by graph contraction.
+
+A token that more than ``RUN`` texts of a shard hold (a large family of near
+copies) is not paired out: its texts are only chained, in order of size, and
+the token is set aside.  Tokens of very high frequency are spread over shards
+by salt, chained there and always set aside.  Once the records linked so far
+have been consolidated, a second pass pairs the texts of those tokens whose
+records are not in one group yet, so that a family costs about its size, not
+its square, and no link between groups is lost.  As a pair may share its tokens
+on either side of this division, each side asks for half of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +38,9 @@ from twinloom.sources.tables import table
 
 WIDTH = 8
 THRESHOLD = 0.6
-OVERLAP = 24  # K
+OVERLAP = 48  # K
+RUN = 256  # texts of a shard with one token that are paired out
+HOT = 100_000  # occurrences above four times the mean slot from which a token is spread, and texts a salt
 SLOT_BITS = 20  # frequency table: 2**20 slots of 4 bytes, whatever the data
 SHARD_TOKENS = 4_000_000
 _CHUNK = 1 << 12
@@ -61,16 +70,17 @@ def least_shared(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def prefix(text: bytes, freq: np.ndarray, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> tuple[int, np.ndarray]:
-    """Number of distinct substrings, and the hashed tokens of the prefix in the global order (unsorted)."""
+def prefix(text: bytes, freq: np.ndarray, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of distinct substrings; the hashed tokens of the prefix in the global order (unsorted) and their slots' frequencies."""
     x = _distinct(hashes(text))
     n = len(x)
     # (frequency of the slot, hash bits within the slot): injective up to the frequency, same for all texts
     order = (np.minimum(freq[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (x & np.uint64((1 << 44) - 1))
     m = min(n, n - least_shared(n, threshold) + overlap)
     o = order if m == n else np.partition(order, m - 1)[:m]
+    often = (o >> np.uint64(44)).astype(np.int64)
     o = o * np.uint64(0xBF58476D1CE4E5B9)
-    return n, o ^ (o >> np.uint64(29))
+    return n, o ^ (o >> np.uint64(29)), often
 
 
 def _texts(source: DataFrame) -> DataFrame:
@@ -128,38 +138,62 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
 
 def _prefix_rows(texts: DataFrame, freq, shards: dict[int, int], threshold: float) -> DataFrame:
-    """``(shard, k, n, tokens)``: the prefix of each text, packed by token shard; shards of side 1 are negative."""
+    """``(shard, k, n, tokens, hot)``: the prefix of each text, packed by token shard; shards of side 1 are negative."""
 
     def emit(batches):
         f = freq.value
+        bound = HOT + 4 * int(f.mean())
         for b in batches:
             out = []
             for side, k, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, o = prefix(p, f, threshold)
-                s = shards[side]
-                at = ((o >> np.uint64(32)) % np.uint64(s)).astype(np.int64)
-                t = (o & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                n, o, often = prefix(p, f, threshold)
+                s, hot = shards[side], often >= bound
+                at = o >> np.uint64(32)
+                if hot.any():
+                    own = np.frombuffer(k[:8], np.uint64)[0]
+                    salt = (((o ^ own) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)) % (often // HOT + 1).astype(np.uint64)
+                    at = np.where(hot, at + salt, at)
+                at = (at % np.uint64(s)).astype(np.int64)
                 by = np.argsort(at, kind="stable")
-                cuts = np.searchsorted(at[by], np.arange(s + 1))
-                t = t[by]
-                out.extend((-1 - i if side else i, k, n, t[cuts[i] : cuts[i + 1]].tobytes()) for i in range(s) if cuts[i + 1] > cuts[i])
-            s, k, n, t = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(k, pa.binary()), pa.array(n, pa.int32()), pa.array(t, pa.binary())], ["shard", "k", "n", "tokens"])
+                at, o, hot = at[by], o[by], hot[by]
+                cuts = np.searchsorted(at, np.arange(s + 1))
+                for i in range(s):
+                    if cuts[i + 1] > cuts[i]:
+                        t, h = o[cuts[i] : cuts[i + 1]], hot[cuts[i] : cuts[i + 1]]
+                        out.append((-1 - i if side else i, k, n, (t[~h] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), t[h].tobytes()))
+            cols = zip(*out, strict=True) if out else ((),) * 5
+            types = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "k", "n", "tokens", "hot"])
+
+    return texts.select("side", "k", "text").mapInArrow(emit, "shard int, k binary, n int, tokens binary, hot binary")
+
 
-    return texts.select("side", "k", "text").mapInArrow(emit, "shard int, k binary, n int, tokens binary")
+def _chained(tokens: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """Codes of the neighbours among the owners of each token; both arrays sorted by token, then owner."""
+    next_ = np.flatnonzero(tokens[1:] == tokens[:-1])
+    return owner[next_] * size + owner[next_ + 1]
 
 
-def shard_pairs(n: np.ndarray, owner: np.ndarray, tokens: np.ndarray, shards: int, threshold: float, overlap: int = OVERLAP) -> Iterator[np.ndarray]:
-    """Candidate pairs of one shard as codes ``i * len(n) + j``, i < j, each once a call's end."""
+def shard_pairs(n: np.ndarray, owner: np.ndarray, tokens: np.ndarray, hot_owner: np.ndarray, hot: np.ndarray, shards: int, threshold: float, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one shard as codes ``i * len(n) + j``, i < j, and the mask of token entries set aside.
+
+    Owners are numbered in order of size n, and entries come by owner.  Texts of
+    a token with up to RUN of them are paired out, others chained.
+    """
+    overlap = OVERLAP if overlap is None else overlap
     o = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[o], owner[o]
     size, codes, counts = np.int64(len(n)), np.empty(0, np.int64), np.empty(0, np.int64)
-    held: list[np.ndarray] = []
-    active, d = np.arange(max(0, len(tokens) - 1)), 0
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+    lengths = np.diff(np.append(starts, len(tokens)))
+    aside = np.repeat(lengths > RUN, lengths)
+    h = np.argsort(hot, kind="stable")
+    held: list[np.ndarray] = [_chained(tokens[aside], owner[aside], size), _chained(hot[h], hot_owner[h], size)]
+    active, d = np.flatnonzero(~aside), 0
 
     def fold():
         nonlocal codes, counts, held
-        c, m = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+        c, m = np.unique(np.concatenate(held), return_counts=True)
         held = []
         both, back = np.unique(np.concatenate((codes, c)), return_inverse=True)
         codes, counts = both, np.bincount(back, np.concatenate((counts, m)), len(both)).astype(np.int64)
@@ -169,47 +203,84 @@ def shard_pairs(n: np.ndarray, owner: np.ndarray, tokens: np.ndarray, shards: in
         active = active[active + d < len(tokens)]
         active = active[tokens[active] == tokens[active + d]]
         a, b = owner[active], owner[active + d]
-        fits = (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9) & (a != b)
-        held.append(np.minimum(a, b)[fits] * size + np.maximum(a, b)[fits])
+        fits = (n[a] >= threshold * n[b] - 1e-9) & (a != b)  # n[a] <= n[b]
+        held.append(a[fits] * size + b[fits])
         if sum(map(len, held)) > 4_000_000:
             fold()
-    fold()
+    if held:
+        fold()
     i, j = codes // max(1, size), codes % max(1, size)
-    least = np.minimum(overlap, np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9))
-    yield codes[counts >= np.ceil(least / shards)]
+    half = np.ceil(np.minimum(overlap, np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)) / 2)
+    mask = np.empty(len(aside), bool)
+    mask[o] = aside
+    return codes[(counts >= np.ceil(half / shards)) & (i != j)], mask
+
+
+_FOUND = "side int, a binary, b binary, n int, token bigint, hot boolean"
+_FOUND_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
 
 
 def _candidates(rows: DataFrame, shards: dict[int, int], threshold: float) -> DataFrame:
-    """``(side, a, b)`` from all shards; a partition's shards are done one after another."""
+    """Candidate pairs ``(side, a, b)`` and entries set aside ``(side, a, n, token, hot)``; a partition's shards are done one after another."""
+
+    def batch(*cols):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FOUND_TYPES, strict=True)], [f.split()[0] for f in _FOUND.split(", ")])
 
     def run(batches):
-        shard, keys, n, toks = None, [], [], []
+        shard, rows = None, []
 
         def flush():
-            if not keys:
+            if not rows:
                 return
-            owner = np.repeat(np.arange(len(keys), dtype=np.int64), [len(t) // 4 for t in toks])
-            tokens = np.frombuffer(b"".join(toks), np.uint32)
-            size = np.array(n, np.int64)
-            for codes in shard_pairs(size, owner, tokens, shards[int(shard < 0)], threshold):
-                for at in range(0, len(codes), 50_000):
-                    part = codes[at : at + 50_000]
-                    a, b = [keys[x] for x in part // len(keys)], [keys[x] for x in part % len(keys)]
-                    a, b = [min(p) for p in zip(a, b, strict=True)], [max(p) for p in zip(a, b, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(shard < 0)] * len(a), pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["side", "a", "b"])
-
-        for batch in batches:
-            for s, k, m, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            side, rank = int(shard < 0), sorted(range(len(rows)), key=lambda i: rows[i][1])
+            keys = [rows[i][0] for i in rank]
+            n = np.array([rows[i][1] for i in rank], np.int64)
+            owners = lambda c, w: np.repeat(np.arange(len(rank), dtype=np.int64), [len(rows[i][c]) // w for i in rank])
+            owner, hot_owner = owners(2, 4), owners(3, 8)
+            tokens, hot = np.frombuffer(b"".join([rows[i][2] for i in rank]), np.uint32), np.frombuffer(b"".join([rows[i][3] for i in rank]), np.uint64)
+            codes, aside = shard_pairs(n, owner, tokens, hot_owner, hot, shards[side], threshold)
+            for at in range(0, len(codes), 50_000):
+                part = codes[at : at + 50_000]
+                a, b = [keys[x] for x in part // len(keys)], [keys[x] for x in part % len(keys)]
+                m = len(a)
+                yield batch([side] * m, list(map(min, a, b)), list(map(max, a, b)), [None] * m, [None] * m, [None] * m)
+            named = (np.int64(shard) << np.int64(32)) | tokens[aside].astype(np.int64)
+            for own, ids, is_hot in ((owner[aside], named, False), (hot_owner, hot.view(np.int64), True)):
+                for at in range(0, len(own), 50_000):
+                    o = own[at : at + 50_000]
+                    m = len(o)
+                    yield batch([side] * m, [keys[x] for x in o], [None] * m, n[o], ids[at : at + 50_000], [is_hot] * m)
+
+        for b in batches:
+            for s, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if s != shard:
                     yield from flush()
-                    shard, keys, n, toks = s, [], [], []
-                keys.append(k)
-                n.append(m)
-                toks.append(t)
+                    shard, rows = s, []
+                rows.append(row)
         yield from flush()
 
     placed = rows.repartition(max(1, sum(shards.values())), "shard").sortWithinPartitions("shard")
-    return placed.mapInArrow(run, "side int, a binary, b binary").distinct()
+    return placed.mapInArrow(run, _FOUND)
+
+
+def _set_aside_pairs(aside: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``(side, a, b)``: candidates among the texts of the tokens set aside whose records aren't in one group yet.
+
+    ``labels(side, k, label)`` is a text's group, null if its records lie in
+    several.  Tokens whose texts are all of one group drop out in an aggregation;
+    the rest is an equi-join on the token, which AQE splits where it is skewed.
+    """
+    entries = aside.join(labels.withColumnRenamed("k", "a"), ["side", "a"])
+    by = ["side", "hot", "token"]
+    mixed = entries.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(F.isnull("label")).alias("several"))
+    alive = entries.join(mixed.where("several > 0 or lo <> hi").select(*by), by)
+    left = alive.select(*by, "a", F.col("n").alias("na"), F.col("label").alias("la"))
+    right = alive.select(*by, F.col("a").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    apart = F.isnull("la") | F.isnull("lb") | (F.col("la") != F.col("lb"))
+    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    shared = left.join(right, by).where((F.col("a") < F.col("b")) & apart & fits).groupBy("side", "a", "b").agg(F.count("*").alias("shared"), F.max(F.greatest("na", "nb")).alias("larger"))
+    half = F.ceil(F.least(F.lit(OVERLAP), F.ceil(F.col("larger") * threshold - 1e-9)) / 2)
+    return shared.where(F.col("shared") >= half).select("side", "a", "b")
 
 
 def likeness(a: bytes, b: bytes) -> tuple[int, int]:
@@ -231,18 +302,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "side int, a binary, b binary")
 
 
-def text_links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(side, a, b)``: all pairs of different texts of one side of ``texts(side, k, text)`` with likeness of at least threshold."""
+def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Candidate pairs and tokens set aside over ``texts(side, k, text)``."""
     spark = texts.sparkSession
     freq = frequencies(texts)
     load = {r.side: r.tokens for r in texts.groupBy("side").agg(F.sum(F.length("text") * (1 - threshold) + OVERLAP).alias("tokens")).collect()}
     wide = spark.sparkContext.defaultParallelism
     shards = {side: max(math.ceil(load.get(side, 0) / SHARD_TOKENS), min(wide // 2 or 1, math.ceil(load.get(side, 0) / 500_000)), 1) for side in (0, 1)}
-    seen = spark.sparkContext.broadcast(freq)
-    candidates = stash(_candidates(_prefix_rows(texts, seen, shards, threshold), shards, threshold), "candidates")
-    links = stash(_verified(candidates, texts, threshold), "links")
-    discard(candidates)
-    return links
+    return stash(_candidates(_prefix_rows(texts, spark.sparkContext.broadcast(freq), shards, threshold), shards, threshold), "candidates")
 
 
 def _expand(units: DataFrame, links: DataFrame) -> DataFrame:
@@ -268,14 +335,22 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     source = records.select("record_id", "human_src", "llm_src")
     keys = stash(record_keys(source), "keys")
     texts = stash(_texts(source), "texts")
-    links = text_links(texts, threshold)
+    found = candidates(texts, threshold)
+    links = stash(_verified(found.where("b is not null").select("side", "a", "b").distinct(), texts, threshold), "links")
     long = texts.select("side", "k")
     units = keys.distinct().groupBy("hk", "lk").agg(F.min("record_id").alias("rep"), F.count("*").alias("copies"))
     for side, c in ((0, "hk"), (1, "lk")):
         units = units.join(long.where(F.col("side") == side).select(F.col("k").alias(c)), c, "left_semi")
     units = stash(units, "units")
-    edges = stash(_expand(units, links), "links")
-    roots = stash(contract(edges), "roots")
+    roots = stash(contract(_expand(units, links)), "roots")
+    aside = found.where("token is not null").select("side", "a", "n", "token", "hot")
+    if aside.limit(1).count():
+        rooted = units.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hk", "lk", F.coalesce("root", "rep").alias("root"))
+        ends = rooted.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hk").alias("k"), "root"), F.struct(F.lit(1).alias("side"), F.col("lk").alias("k"), "root"))).alias("e"))
+        labels = ends.select("e.*").groupBy("side", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("side", "k", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
+        more = _set_aside_pairs(aside, labels, threshold).join(links, ["side", "a", "b"], "left_anti")
+        links = links.unionByName(stash(_verified(more, texts, threshold), "links"))
+        roots = stash(contract(_expand(units, links)), "roots")
     placed = units.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     least = placed.groupBy("root").agg(F.min("rep").alias("group_id"), F.sum("copies").alias("size")).where("size > 1")
     grouped = placed.join(least, "root").select("hk", "lk", "group_id")
