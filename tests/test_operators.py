@@ -220,3 +220,11 @@ def test_measured_and_attacked(spark):
     rows = measure.measured(snippets).collect()
     assert {r.language for r in rows} == {"py", "c"} and all(len(r.style) == 10 and len(r.enhanced) == 18 for r in rows)
     assert measure.attacked(snippets).count() == 10
+
+
+def test_feature_cache_measures_new_snippets_only(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    make = lambda codes: measure.distinct_code(spark.createDataFrame([("py", c, c) for c in codes], "language string, human_src string, llm_src string"), ["human_src"])
+    assert measure.cached(make(["x = 1", "y = 2"]), path).count() == 2
+    assert measure.cached(make(["y = 2", "z = 3"]), path).count() == 2
+    assert spark.read.parquet(path).count() == 3

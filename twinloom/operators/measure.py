@@ -36,6 +36,20 @@ def measured(snippets: DataFrame) -> DataFrame:
     return snippets.where(F.col("language").isin(*LANGUAGES)).select("language", "sha", "code").mapInArrow(run, schema)
 
 
+def cached(snippets: DataFrame, path: str) -> DataFrame:
+    """``measured`` kept in a Parquet cache at path: only snippets that the cache doesn't hold are measured and added.
+
+    The key is (language, sha), so equal code is measured once over all runs.
+    """
+    spark = snippets.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    wanted = snippets.select("language", "sha")
+    new = snippets.join(spark.read.parquet(path).select("language", "sha"), ["language", "sha"], "left_anti") if there else snippets
+    measured(new).write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(wanted, ["language", "sha"], "left_semi")
+
+
 def attacked(snippets: DataFrame, attacks: tuple[str, ...] = transforms.ATTACKS) -> DataFrame:
     """One row per snippet and transform with its audit (long form of the attack axis)."""
     names = transforms.Applied._fields

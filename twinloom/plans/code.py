@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from twinloom.functions import transforms
 from twinloom.operators import measure
+from twinloom.runtime import stash
 from twinloom.sources.jsonl import scan_lines
 from twinloom.sources.tables import table
 
@@ -151,6 +152,25 @@ def transform_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def attack_feature_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean absolute change of the 28 measurements by language and transform, over candidate snippets that the transform changed without a parse regression."""
+    audit = transform_audit(spark, sf_dir).where("changed and failure_reason is null")
+    pairs = stash(audit.select("language", "attack", F.col("input_sha256").alias("before"), F.col("output_sha256").alias("after"), "code"), "attacked")
+    old = _snippets(spark, sf_dir).join(pairs.select("language", F.col("before").alias("sha")).distinct(), ["language", "sha"], "left_semi")
+    new = pairs.select("language", F.col("after").alias("sha"), "code").dropDuplicates(["language", "sha"])
+    vectors = lambda d, k, c: measure.measured(d).select("language", F.col("sha").alias(k), F.concat("style", "enhanced").alias(c))
+    both = pairs.drop("code").join(vectors(old, "before", "x"), ["language", "before"]).join(vectors(new, "after", "y"), ["language", "after"])
+    shift = F.zip_with("x", "y", lambda a, b: F.abs(b - a))
+    return both.groupBy("language", "attack").agg(F.count("*").alias("n_snippets"), F.array(*(F.round(F.avg(F.element_at(shift, i + 1)), 6) for i in range(28))).alias("mean_shift"))
+
+
+def first_k_groups(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
+    """Rows of the first k human sources of each language in order of appearance, whole groups (the limit is the feature)."""
+    t = normalize_source_id(spark, sf_dir).join(_task(spark, sf_dir).select("record_id", "language"), "record_id").where("human_source_id is not null and language is not null")
+    groups = t.groupBy("language", "human_source_id").agg(F.min("record_id").alias("first_row"), F.count("*").alias("n_rows"))
+    return groups.selectExpr("*", "cast(row_number() over (partition by language order by first_row) as bigint) as place").where(F.col("place") <= k)
+
+
 def comment_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the C-family candidates with the fixed comment line on top."""
     line = F.when(F.col("language") == "py", F.lit(None)).otherwise(F.lit(transforms.INJECTED["c"] + "\n"))
@@ -219,7 +239,7 @@ QUERIES = {
     for f in (
         strict_jsonl_scan, normalize_source_id, code_sha_inventory, naming_class_counts, naming_consistency, indentation_consistency,
         identifier_entropy, identifier_length_stats, format_features, brace_nesting_depth, line_comment_ratio, code_vectors, record_features,
-        transform_audit, transform_summary, comment_injection, line_layout, pair_difficulty, binary_metrics, auroc_rank,
+        transform_audit, transform_summary, attack_feature_shift, first_k_groups, comment_injection, line_layout, pair_difficulty, binary_metrics, auroc_rank,
     )
 }
 
@@ -238,6 +258,7 @@ ORACLE = {
       when json_extract(line, '$.human_src') is null or json_type(line, '$.human_src') = 'NULL' or json_extract(line, '$.llm_src') is null or json_type(line, '$.llm_src') = 'NULL' or json_extract(line, '$.label') is null or json_type(line, '$.label') = 'NULL' then 'missing field' else 'record' end as status,
       count(*) as n_lines from task1_raw group by 1""",
     "normalize_source_id": "select record_id, case when label = 0 then human_file_name else file_name end as human_source_id from task1",
+    "first_k_groups": "with g as (select language, case when label = 0 then human_file_name else file_name end as human_source_id, min(record_id) as first_row, count(*) as n_rows from task1 where language is not null group by 1, 2) select * from (select *, row_number() over (partition by language order by first_row) as place from g where human_source_id is not null) where place <= 50",
     "code_sha_inventory": "select language, count(*) as n_rows, count(*) filter (label = 1) as n_positive, count(distinct sha256(human_src)) as n_human, count(distinct sha256(llm_src)) as n_llm from task1 group by 1",
     "naming_class_counts": f"with {_NAMES_SQL} select {_STYLE_SQL} as style, count(*) as n_names, count(distinct name) as n_distinct from names group by 1",
     "naming_consistency": f"with {_NAMES_SQL}, c as (select record_id, {_STYLE_SQL} as style, count(*) as n, sum(length(name)) as chars from names group by 1, 2) select record_id, round(max(n) / sum(n), 6) as consistency, round(sum(chars) / sum(n), 6) as mean_length from c group by 1",
