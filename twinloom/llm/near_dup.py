@@ -43,6 +43,8 @@ RUN = 256  # texts of a shard with one token that are paired out
 HOT = 100_000  # occurrences above four times the mean slot from which a token is spread, and texts a salt
 SLOT_BITS = 20  # frequency table: 2**20 slots of 4 bytes, whatever the data
 SHARD_TOKENS = 4_000_000
+PAIRS = 2_000_000  # pairs by token that are counted at once
+TEXTS = 2_000  # texts hashed at once
 _CHUNK = 1 << 12
 
 
@@ -70,17 +72,44 @@ def least_shared(n: int, threshold: float) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def prefix(text: bytes, freq: np.ndarray, threshold: float = THRESHOLD, overlap: int = OVERLAP) -> tuple[int, np.ndarray, np.ndarray]:
-    """Number of distinct substrings; the hashed tokens of the prefix in the global order (unsorted) and their slots' frequencies."""
-    x = _distinct(hashes(text))
+def batch_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes at all positions of a batch's texts laid end to end, and each text's first position and number of substrings."""
+    data, lengths = flat(texts)
+    first = np.cumsum(lengths) - lengths
+    return hashes(data.tobytes() + bytes(WIDTH - 1)), first, np.maximum(lengths - (WIDTH - 1), 0)
+
+
+def pieces(batches):
+    """Batches in pieces of TEXTS rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXTS):
+            yield b.slice(at, TEXTS)
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, end to end, and the values' lengths."""
+    column = column.cast(pa.binary())
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.uint8)
+    return data, np.diff(at).astype(np.int64)
+
+
+def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary column of the stretches of an array between the cuts."""
+    offsets = ((cuts - cuts[0]) * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values[cuts[0] : cuts[-1]]).tobytes())])
+
+
+def prefix(x: np.ndarray, freq: np.ndarray, threshold: float = THRESHOLD, overlap: int | None = None) -> tuple[int, np.ndarray]:
+    """Number of distinct hashes, and the prefix in the global order as (slot frequency << 44 | hash bits within the slot), unsorted.
+
+    The code is injective up to the frequency and the same for all texts.
+    """
+    x = _distinct(x)
     n = len(x)
-    # (frequency of the slot, hash bits within the slot): injective up to the frequency, same for all texts
     order = (np.minimum(freq[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (x & np.uint64((1 << 44) - 1))
-    m = min(n, n - least_shared(n, threshold) + overlap)
-    o = order if m == n else np.partition(order, m - 1)[:m]
-    often = (o >> np.uint64(44)).astype(np.int64)
-    o = o * np.uint64(0xBF58476D1CE4E5B9)
-    return n, o ^ (o >> np.uint64(29)), often
+    m = min(n, n - least_shared(n, threshold) + (OVERLAP if overlap is None else overlap))
+    return n, order if m == n else np.partition(order, m - 1)[:m]
 
 
 def _texts(source: DataFrame) -> DataFrame:
@@ -111,9 +140,12 @@ def frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << SLOT_BITS, np.uint32)
-        for b in batches:
-            x = [hashes(p) for p in b.column(0).to_pylist()]
-            slots = (np.concatenate(x) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) if x else np.empty(0, np.int64)
+        for b in pieces(batches):
+            x, first, n = batch_hashes(b.column(0))
+            valid = np.zeros(len(x) + 1, np.int8)  # +1 where a text's substrings begin, -1 where they end
+            np.add.at(valid, first[n > 0], 1)
+            np.add.at(valid, (first + n)[n > 0], -1)
+            slots = (x[np.cumsum(valid[:-1]).astype(bool)] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
             total += np.bincount(slots, minlength=1 << SLOT_BITS).astype(np.uint32)
         yield _chunks(total)
 
@@ -143,27 +175,35 @@ def _prefix_rows(texts: DataFrame, freq, shards: dict[int, int], threshold: floa
     def emit(batches):
         f = freq.value
         bound = HOT + 4 * int(f.mean())
-        for b in batches:
-            out = []
-            for side, k, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                n, o, often = prefix(p, f, threshold)
-                s, hot = shards[side], often >= bound
-                at = o >> np.uint64(32)
-                if hot.any():
-                    own = np.frombuffer(k[:8], np.uint64)[0]
-                    salt = (((o ^ own) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)) % (often // HOT + 1).astype(np.uint64)
-                    at = np.where(hot, at + salt, at)
-                at = (at % np.uint64(s)).astype(np.int64)
-                by = np.argsort(at, kind="stable")
-                at, o, hot = at[by], o[by], hot[by]
-                cuts = np.searchsorted(at, np.arange(s + 1))
-                for i in range(s):
-                    if cuts[i + 1] > cuts[i]:
-                        t, h = o[cuts[i] : cuts[i + 1]], hot[cuts[i] : cuts[i + 1]]
-                        out.append((-1 - i if side else i, k, n, (t[~h] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), t[h].tobytes()))
-            cols = zip(*out, strict=True) if out else ((),) * 5
-            types = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "k", "n", "tokens", "hot"])
+        width = max(shards.values())
+        for b in pieces(batches):
+            x, first, count = batch_hashes(b.column(2))
+            sides = b.column(0).to_numpy()
+            parts, n = [], np.zeros(len(first), np.int32)
+            for i, (at, m) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+                n[i], o = prefix(x[at : at + m], f, threshold)
+                parts.append(o)
+            text = np.repeat(np.arange(len(parts)), [len(o) for o in parts])
+            o = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            often = (o >> np.uint64(44)).astype(np.int64)
+            o = o * np.uint64(0xBF58476D1CE4E5B9)
+            o ^= o >> np.uint64(29)
+            hot, at = often >= bound, o >> np.uint64(32)
+            if hot.any():
+                own = flat(b.column(1))[0].view(np.uint64)[::2][text]
+                salt = (((o ^ own) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)) % (often // HOT + 1).astype(np.uint64)
+                at = np.where(hot, at + salt, at)
+            s = np.array([shards[0], shards[1]], np.uint64)[sides][text] if len(text) else np.empty(0, np.uint64)
+            cell = text * width + (at % s).astype(np.int64)  # one row a text and shard
+            rank = np.argsort(cell, kind="stable")
+            cell, o, hot = cell[rank], o[rank], hot[rank]
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            row_text, row_shard = cell[starts] // width, cell[starts] % width
+            cuts = np.append(starts, len(cell))
+            cold_cuts, hot_cuts = (np.concatenate(([0], np.cumsum(m)))[cuts] for m in (~hot, hot))
+            shard = np.where(sides[row_text] == 1, -1 - row_shard, row_shard).astype(np.int32) if len(starts) else np.empty(0, np.int32)
+            cols = [pa.array(shard), b.column(1).take(pa.array(row_text)), pa.array(n[row_text]), binary((o[~hot] & np.uint64(0xFFFFFFFF)).astype(np.uint32), cold_cuts), binary(o[hot], hot_cuts)]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "k", "n", "tokens", "hot"])
 
     return texts.select("side", "k", "text").mapInArrow(emit, "shard int, k binary, n int, tokens binary, hot binary")
 
@@ -174,46 +214,46 @@ def _chained(tokens: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     return owner[next_] * size + owner[next_ + 1]
 
 
-def shard_pairs(n: np.ndarray, owner: np.ndarray, tokens: np.ndarray, hot_owner: np.ndarray, hot: np.ndarray, shards: int, threshold: float, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one shard as codes ``i * len(n) + j``, i < j, and the mask of token entries set aside.
+def shard_pairs(n: np.ndarray, entries: np.ndarray, hot: np.ndarray, hot_owner: np.ndarray, shards: int, threshold: float, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one shard as codes ``i * len(n) + j``, i < j, and the entries set aside.
 
-    Owners are numbered in order of size n, and entries come by owner.  Texts of
-    a token with up to RUN of them are paired out, others chained.
+    Owners are numbered in order of size n.  ``entries`` are (token << 32 |
+    owner) and are sorted in place; hot tokens come by owner.  Texts of a token
+    with up to RUN of them are paired out, others chained.
     """
     overlap = OVERLAP if overlap is None else overlap
-    o = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[o], owner[o]
-    size, codes, counts = np.int64(len(n)), np.empty(0, np.int64), np.empty(0, np.int64)
-    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.empty(0, np.int64)
+    entries.sort()
+    tokens, owner = (entries >> np.uint64(32)).astype(np.uint32), (entries & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    size = np.int64(max(1, len(n)))
+    again = tokens[1:] == tokens[:-1]  # entry i + 1 has the token of entry i
+    starts = np.flatnonzero(np.concatenate(([True], ~again))) if len(tokens) else np.empty(0, np.int64)
     lengths = np.diff(np.append(starts, len(tokens)))
-    aside = np.repeat(lengths > RUN, lengths)
+    aside = np.zeros(len(tokens), bool)
+    for i in np.flatnonzero(lengths > RUN):
+        aside[starts[i] : starts[i] + lengths[i]] = True
+    short = lengths[lengths <= RUN]
+    blocks = max(1, -(-int((short * (short - 1) // 2).sum()) // PAIRS))
+    del starts, lengths, short
     h = np.argsort(hot, kind="stable")
-    held: list[np.ndarray] = [_chained(tokens[aside], owner[aside], size), _chained(hot[h], hot_owner[h], size)]
-    active, d = np.flatnonzero(~aside), 0
-
-    def fold():
-        nonlocal codes, counts, held
-        c, m = np.unique(np.concatenate(held), return_counts=True)
-        held = []
-        both, back = np.unique(np.concatenate((codes, c)), return_inverse=True)
-        codes, counts = both, np.bincount(back, np.concatenate((counts, m)), len(both)).astype(np.int64)
-
-    while len(active):  # pairs of equal tokens at distance d, for growing d
-        d += 1
-        active = active[active + d < len(tokens)]
-        active = active[tokens[active] == tokens[active + d]]
-        a, b = owner[active], owner[active + d]
-        fits = (n[a] >= threshold * n[b] - 1e-9) & (a != b)  # n[a] <= n[b]
-        held.append(a[fits] * size + b[fits])
-        if sum(map(len, held)) > 4_000_000:
-            fold()
-    if held:
-        fold()
-    i, j = codes // max(1, size), codes % max(1, size)
-    half = np.ceil(np.minimum(overlap, np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)) / 2)
-    mask = np.empty(len(aside), bool)
-    mask[o] = aside
-    return codes[(counts >= np.ceil(half / shards)) & (i != j)], mask
+    chain = np.concatenate((_chained(tokens[aside], owner[aside].astype(np.int64), size), _chained(hot[h], hot_owner[h], size)))
+    base = np.flatnonzero(again & ~aside[1:]).astype(np.int32) if len(tokens) else np.empty(0, np.int32)
+    del again
+    out: list[np.ndarray] = []
+    for block in range(blocks):  # the pairs of one text fall into one block
+        held, d = [chain[chain // size % blocks == block]], 1
+        active = base[owner[base] % blocks == block]
+        while len(active):  # pairs of equal tokens at distance d, for growing d
+            a, b = owner[active], owner[active + d]
+            fits = (n[a] >= threshold * n[b] - 1e-9) & (a != b)  # n[a] <= n[b]
+            held.append(a[fits] * size + b[fits])
+            d += 1
+            active = active[active + d < len(tokens)]
+            active = active[tokens[active] == tokens[active + d]]
+        codes, counts = np.unique(np.concatenate(held), return_counts=True)
+        i, j = codes // size, codes % size
+        half = np.ceil(np.minimum(overlap, np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)) / 2)
+        out.append(codes[(counts >= np.ceil(half / shards)) & (i != j)])
+    return np.concatenate(out), entries[aside]
 
 
 _FOUND = "side int, a binary, b binary, n int, token bigint, hot boolean"
@@ -223,41 +263,48 @@ _FOUND_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa
 def _candidates(rows: DataFrame, shards: dict[int, int], threshold: float) -> DataFrame:
     """Candidate pairs ``(side, a, b)`` and entries set aside ``(side, a, n, token, hot)``; a partition's shards are done one after another."""
 
-    def batch(*cols):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _FOUND_TYPES, strict=True)], [f.split()[0] for f in _FOUND.split(", ")])
+    def batch(m: int, *cols):
+        full = [pa.nulls(m, t) if c is None else pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(cols, _FOUND_TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays(full, [f.split()[0] for f in _FOUND.split(", ")])
+
+    def work(shard: int, held: list[pa.RecordBatch]):
+        got = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+        got = got.take(pa.array(np.argsort(got.column("n").to_numpy(), kind="stable"))).combine_chunks()
+        keys, n = got.column("k").chunk(0).cast(pa.binary()), got.column("n").to_numpy().astype(np.int64)
+        (tokens, t_len), (hot, h_len) = (flat(got.column(c).chunk(0)) for c in ("tokens", "hot"))
+        del got
+        side, owners = int(shard < 0), np.arange(len(n), dtype=np.uint64)
+        entries = (tokens.view(np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(owners, t_len // 4)
+        hot, hot_owner = hot.view(np.uint64), np.repeat(owners, h_len // 8).astype(np.int64)
+        del tokens
+        codes, aside = shard_pairs(n, entries, hot, hot_owner, shards[side], threshold)
+        del entries
+        halves = flat(keys)[0].view(">u8").reshape(-1, 2)
+        for at in range(0, len(codes), 50_000):
+            a, b = codes[at : at + 50_000] // len(n), codes[at : at + 50_000] % len(n)
+            swap = (halves[a, 0] > halves[b, 0]) | ((halves[a, 0] == halves[b, 0]) & (halves[a, 1] > halves[b, 1]))
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            yield batch(len(a), np.full(len(a), side, np.int32), keys.take(pa.array(a)), keys.take(pa.array(b)), None, None, None)
+        named = (np.int64(shard) << np.int64(32)) | (aside >> np.uint64(32)).astype(np.int64)
+        for own, ids, is_hot in (((aside & np.uint64(0xFFFFFFFF)).astype(np.int64), named, False), (hot_owner, hot.view(np.int64), True)):
+            for at in range(0, len(own), 50_000):
+                o = own[at : at + 50_000]
+                yield batch(len(o), np.full(len(o), side, np.int32), keys.take(pa.array(o)), None, n[o].astype(np.int32), ids[at : at + 50_000], np.full(len(o), is_hot))
 
     def run(batches):
-        shard, rows = None, []
-
-        def flush():
-            if not rows:
-                return
-            side, rank = int(shard < 0), sorted(range(len(rows)), key=lambda i: rows[i][1])
-            keys = [rows[i][0] for i in rank]
-            n = np.array([rows[i][1] for i in rank], np.int64)
-            owners = lambda c, w: np.repeat(np.arange(len(rank), dtype=np.int64), [len(rows[i][c]) // w for i in rank])
-            owner, hot_owner = owners(2, 4), owners(3, 8)
-            tokens, hot = np.frombuffer(b"".join([rows[i][2] for i in rank]), np.uint32), np.frombuffer(b"".join([rows[i][3] for i in rank]), np.uint64)
-            codes, aside = shard_pairs(n, owner, tokens, hot_owner, hot, shards[side], threshold)
-            for at in range(0, len(codes), 50_000):
-                part = codes[at : at + 50_000]
-                a, b = [keys[x] for x in part // len(keys)], [keys[x] for x in part % len(keys)]
-                m = len(a)
-                yield batch([side] * m, list(map(min, a, b)), list(map(max, a, b)), [None] * m, [None] * m, [None] * m)
-            named = (np.int64(shard) << np.int64(32)) | tokens[aside].astype(np.int64)
-            for own, ids, is_hot in ((owner[aside], named, False), (hot_owner, hot.view(np.int64), True)):
-                for at in range(0, len(own), 50_000):
-                    o = own[at : at + 50_000]
-                    m = len(o)
-                    yield batch([side] * m, [keys[x] for x in o], [None] * m, n[o], ids[at : at + 50_000], [is_hot] * m)
-
+        shard, held = None, []
         for b in batches:
-            for s, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if s != shard:
-                    yield from flush()
-                    shard, rows = s, []
-                rows.append(row)
-        yield from flush()
+            s = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(s)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(s)], strict=True):
+                if hi > lo:
+                    if s[lo] != shard and held:
+                        yield from work(shard, held)
+                    shard = int(s[lo])
+                    held.append(b.slice(lo, hi - lo))
+        if held:
+            yield from work(shard, held)
 
     placed = rows.repartition(max(1, sum(shards.values())), "shard").sortWithinPartitions("shard")
     return placed.mapInArrow(run, _FOUND)
