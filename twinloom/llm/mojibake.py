@@ -4,12 +4,15 @@ Only blank-separated words with a non-ASCII character can show a wrong
 decoding, so those words are taken out of every document once.  Character
 trigram models with smoothing are trained on the words of clean records (no
 replacement or C1 control character, no word that is itself valid UTF-8 read in
-a one-byte encoding).  Each word is then scored against every candidate chain
-"encode as it was wrongly decoded, decode as it should have been", and the
-likeliest is accepted where its log-likelihood beats the stored word's by a
-margin.  The margin is validated on clean records held out of training: their
-words as stored must not be changed, and the same words garbled on purpose must
-be found.
+a one-byte encoding).  Text that went from one one-byte encoding to another
+still passes as clean then, so the words that this first model already finds
+garbled are left out and the model is trained again.  Each word is scored
+against every candidate chain "encode as it was wrongly decoded, decode as it
+should have been", and the likeliest is accepted where its log-likelihood beats
+the stored word's by a margin.  The margin is validated on clean records held
+out of training: their words as stored must not be changed, and the same words
+garbled on purpose must be found.  Training and scoring run over the distinct
+words with their counts, so that each word is scored once for all documents.
 
 The counts are kept in ``2**20`` hash slots for each order, so the model's size
 is bounded whatever the alphabet; all records are counted.
@@ -18,6 +21,7 @@ is bounded whatever the alphabet; all records are counted.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +42,7 @@ RARE_RIGHT = 8.0
 DEPTH = 3  # times a text may have been garbled through UTF-8
 HELD_OUT = 10  # one clean record in so many is kept for validation
 FALSE_COST = 20.0  # a changed clean word weighs as many missed garbled words
+FIRST_MARGIN = 3.0  # gain from which the first model leaves a word out of the second's training
 _SLOTS = 1 << 20
 _START, _END = "\x02", "\x03"
 _BIN = 0.5
@@ -80,14 +85,25 @@ def decode(raw: bytes, encoding: str) -> str:
     return "".join([chr(back[b]) for b in raw])
 
 
+_RUN = re.compile(r"[^\x00-\x7f]+")
+
+
+def _decoded(run: str, encoding: str) -> str | None:
+    raw = encode(run, encoding)
+    try:
+        return None if raw is None else raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 def _utf8(word: str) -> Iterator[tuple[str, str]]:
+    """The word's readings as UTF-8 in one-byte encodings; where a character was lost, of those runs that still are valid."""
+    runs = _RUN.findall(word)
     for e in WRONG:
-        raw = encode(word, e)
-        if raw is not None:
-            try:
-                yield e, raw.decode("utf-8")
-            except UnicodeDecodeError:
-                pass
+        read = [_decoded(r, e) for r in runs]
+        if any(x is not None for x in read):
+            left = iter(zip(runs, read, strict=True))
+            yield e, _RUN.sub(lambda _, left=left: next(r if x is None else x for r, x in [next(left)]), word)
 
 
 def chains(word: str) -> dict[tuple[str, ...], str]:
@@ -220,53 +236,61 @@ def word_lists(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, words array<string>, clean boolean, held_out boolean")
 
 
-def _counted(column) -> Counter:
-    return Counter(column.flatten().to_pylist())
+def word_counts(lists: DataFrame) -> DataFrame:
+    """``(word, n_train, n_held)``: every distinct suspect word, and how often clean records in and out of training hold it."""
+    words = lists.select(F.explode("words").alias("word"), "clean", "held_out")
+    kept, held = F.col("clean") & ~F.col("held_out"), F.col("clean") & F.col("held_out")
+    return words.groupBy("word").agg(F.count_if(kept).alias("n_train"), F.count_if(held).alias("n_held"))
+
+
+def train(words: DataFrame) -> dict[int, int]:
+    """Hashed n-gram counts over all of ``words(word, n_train)``; at most 3 * 2**20 numbers."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = gram_counts(Counter(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["slot", "n"])
+
+    rows = words.where("n_train > 0").select("word", "n_train").mapInArrow(run, "slot int, n bigint")
+    return {r.slot: r.n for r in rows.groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
-def train(lists: DataFrame) -> dict[int, int]:
-    """Hashed n-gram counts over all clean records not held out; at most 3 * 2**20 numbers."""
+def gains(words: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds the ``gain`` and the ``reading`` of the likeliest other reading to ``words(word, n_train, n_held)``."""
+    shared = words.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        model = Model(shared.value)
         for b in batches:
-            total.update(_counted(b.column(0)))
-            if len(total) > 500_000:
-                yield _rows(gram_counts(total))
-                total = Counter()
-        yield _rows(gram_counts(total))
+            best = [model.best(w) for w in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in best], pa.float64()), pa.array([x[2] for x in best], pa.string())], [*b.schema.names, "gain", "reading"])
 
-    def _rows(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["slot", "n"])
+    return words.select("word", "n_train", "n_held").mapInArrow(run, "word string, n_train bigint, n_held bigint, gain double, reading string")
 
-    clean = lists.where("clean and not held_out").select("words")
-    return {r.slot: r.n for r in clean.mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator()}
 
+def _bin(gain: float) -> int:
+    return int(max(-1.0, min(100.0, gain)) // _BIN)
 
-def _gain_bins(lists: DataFrame, shared) -> dict[tuple[bool, int], int]:
+
+def _gain_bins(scored: DataFrame, counts: dict[int, int]) -> dict[tuple[bool, int], int]:
     """Histogram of gains over held-out clean words, as stored and garbled on purpose."""
+    shared = scored.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        model, bins = Model(shared.value), Counter()
-        words: Counter = Counter()
+        model = Model(shared.value)
         for b in batches:
-            words.update(_counted(b.column(0)))
-        for w, n in words.items():
-            bins[False, _bin(model.best(w)[0])] += n
-            kinds = sorted(garble(w).items())
-            chain, g = kinds[zlib.crc32(w.encode("utf-8", "surrogatepass")) % len(kinds)] if kinds else ((), w)
-            if kinds:
-                bins[True, _bin(model.best(g)[0])] += n
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in bins], pa.bool_()), pa.array([k[1] for k in bins], pa.int32()), pa.array(list(bins.values()), pa.int64())], ["garbled", "bin", "n"])
-
-    def _bin(gain: float) -> int:
-        return int(max(-1.0, min(100.0, gain)) // _BIN)
-
-    held = lists.where("clean and held_out").select("words")
+            bins: Counter = Counter()
+            for w, n, gain in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                bins[False, _bin(gain)] += n
+                if kinds := sorted(garble(w).items()):
+                    bins[True, _bin(model.best(kinds[zlib.crc32(w.encode("utf-8", "surrogatepass")) % len(kinds)][1])[0])] += n
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in bins], pa.bool_()), pa.array([k[1] for k in bins], pa.int32()), pa.array(list(bins.values()), pa.int64())], ["garbled", "bin", "n"])
+
+    held = scored.where("n_held > 0").select("word", "n_held", "gain")
     return {(r.garbled, r.bin): r.n for r in held.mapInArrow(run, "garbled boolean, bin int, n bigint").groupBy("garbled", "bin").agg(F.sum("n").alias("n")).collect()}
 
 
-def choose_margin(bins: dict[tuple[bool, int], int], default: float = 6.0, least: float = 3.0) -> float:
+def choose_margin(bins: dict[tuple[bool, int], int], default: float = 6.0, least: float = 5.0) -> float:
     """The margin that finds the most garbled held-out words less FALSE_COST times the changed clean ones; the default without held-out words."""
     whole = {k: sum(n for (g, _), n in bins.items() if g is k) for k in (False, True)}
     if not whole[True]:
@@ -275,46 +299,29 @@ def choose_margin(bins: dict[tuple[bool, int], int], default: float = 6.0, least
     return max((share(True, b) - FALSE_COST * share(False, b), -b) for b in range(int(least / _BIN), int(30 / _BIN)))[1] * -_BIN
 
 
-def fit(docs: DataFrame) -> tuple[DataFrame, dict[int, int], float]:
-    """(word lists, model counts, margin) of a corpus ``docs(doc_id, text)``."""
-    lists = stash(word_lists(docs), "words")
-    counts = train(lists)
-    margin = choose_margin(_gain_bins(lists, docs.sparkSession.sparkContext.broadcast(counts)))
-    return lists, counts, margin
+def fit(words: DataFrame) -> tuple[DataFrame, float]:
+    """(all words with gain and reading, margin) for ``words(word, n_train, n_held)``."""
+    first = stash(gains(words, train(words)), "first")
+    doubtful = F.col("gain") > FIRST_MARGIN
+    cleaner = first.select("word", F.when(doubtful, 0).otherwise(F.col("n_train")).cast("long").alias("n_train"), F.when(doubtful, 0).otherwise(F.col("n_held")).cast("long").alias("n_held"))
+    counts = train(cleaner)
+    scored = stash(gains(cleaner, counts), "scored")
+    return scored, choose_margin(_gain_bins(scored, counts))
 
 
 def garbled_words(docs: DataFrame) -> DataFrame:
     """``(doc_id, words)``: per document with a garbled stretch, map from each garbled word to its restored form.
 
     Words with the replacement character are garbled beyond recovery and map to
-    null.  Null, empty and ASCII texts have none; repeated rows come out as
-    often as they are; other columns are ignored.
+    null.  Null, empty and ASCII texts have none; rows with one doc_id count as
+    one document; other columns are ignored.
     """
-    lists, counts, margin = fit(docs)
-    kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((counts, margin))
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        counts, least = shared.value
-        model = Model(counts)
-
-        @lru_cache(500_000)
-        def fixed(w: str) -> tuple[bool, str | None]:
-            if is_lossy(w):
-                return True, None
-            gain, _, r = model.best(w)
-            return gain > least, r
-
-        for b in batches:
-            ids, found = [], []
-            for d, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                bad = {w: r for w in ws for is_bad, r in (fixed(w),) if is_bad}
-                if bad:
-                    ids.append(d)
-                    found.append(list(bad.items()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(found, pa.map_(pa.string(), pa.string()))], ["doc_id", "words"])
-
-    return lists.select("doc_id", "words").mapInArrow(run, f"doc_id {kind}, words map<string,string>")
+    lists = stash(word_lists(docs), "words")
+    scored, margin = fit(stash(word_counts(lists), "counts"))
+    lossy = F.contains("word", F.lit("\ufffd"))
+    bad = scored.where(lossy | (F.col("gain") > margin)).select("word", F.when(~lossy, F.col("reading")).alias("reading"))
+    held = lists.select("doc_id", F.explode(F.array_distinct("words")).alias("word"))
+    return held.join(bad, "word").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "reading"))).alias("words"))
 
 
 def repair(docs: DataFrame) -> DataFrame:
