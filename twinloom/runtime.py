@@ -8,6 +8,8 @@ machine: where the setting is absent (tests), a folder is made and set.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import uuid
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_twinloom_dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="twinloom-")
+        own = tempfile.mkdtemp(prefix="twinloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = "file://" + own
         sc.setCheckpointDir(folder)
         sc._twinloom_dir = folder
     return folder.rstrip("/")
