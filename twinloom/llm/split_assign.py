@@ -98,6 +98,8 @@ def assign_splits(rows: DataFrame, shares: list[tuple[str, float]]) -> DataFrame
     """
     spark = rows.sparkSession
     total = sum(x for _, x in shares)
+    if total <= 0:
+        raise ValueError("no shares are wanted")
     shares = sorted(((s, x / total) for s, x in shares), key=lambda x: (-x[1], x[0]))
     lone = F.concat(F.lit("row:"), F.col("id").cast("string"))
     ended = rows.select("id", F.coalesce("a", "b", lone).alias("a"), F.coalesce("b", "a", lone).alias("b"), "source")
