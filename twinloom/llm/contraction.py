@@ -73,8 +73,8 @@ def shared_key_edges(members: DataFrame) -> DataFrame:
     salted sub-group, each sub-group's least to the key's.  No task sees more
     than a sub-group, so one key may hold a large part of all rows.
     """
-    salted = members.where(F.col("key").isNotNull() & F.col("node").isNotNull()).distinct()
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    known = stash(members.where(F.col("key").isNotNull() & F.col("node").isNotNull()).distinct(), "members")
+    salted = known.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     near = salted.select("node", F.min("node").over(Window.partitionBy("key", "salt")).alias("least"))
     heads = salted.groupBy("key", "salt").agg(F.min("node").alias("node"))
     far = heads.select("node", F.min("node").over(Window.partitionBy("key")).alias("least"))
