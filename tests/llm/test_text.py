@@ -132,6 +132,20 @@ def test_found_and_restored(spark, corpus):
     assert right >= 0.8 * len(bad)
 
 
+def test_garbled_into_a_common_character(spark, corpus):
+    """A garbled character that is common itself (German sz) doesn't spare a word from being scored; words that can be read as UTF-8 by chance are trained on."""
+    german = [(30_000 + i, f"Die Straße weiß, daß der große Fußweg heißt, gemäß Maß {i}") for i in range(2000)]
+    clean = [(40_000 + i, f"la cámara láctea dio la página {i}") for i in range(40)] + [(50_000 + i, f"l’été de l’élection, m’écrivent {i}") for i in range(200)]
+    bad = {60_000: ("la cßmara", "la cámara"), 60_001: ("dio lßctea", "dio láctea"), 60_002: ("la pßgina", "la página"), **{60_010 + i: ("lÆΘtΘ de lÆΘlection,", "l’été de l’élection,") for i in range(9)}}
+    df = spark.createDataFrame([*corpus, *german, *clean, *((i, g) for i, (g, _) in bad.items())], "doc_id bigint, text string")
+    assert {r.doc_id: r.restored for r in mojibake.repair(df).collect()} == {i: t for i, (_, t) in bad.items()}
+
+
+def test_unseen_characters_have_no_counts():
+    model = mojibake.Model(mojibake.gram_counts({"é": 5}) | {mojibake._slot(1, "D\x90"): 1000})  # another gram's slot
+    assert model.count("D\x90") == 0 and model.count("é\x03") == 5
+
+
 def test_no_clean_records(spark):
     schema = "doc_id bigint, text string"
     assert mojibake.garbled_words(spark.createDataFrame([], schema)).collect() == []

@@ -4,7 +4,7 @@ Only blank-separated words with a non-ASCII character can show a wrong
 decoding, so those words are taken out of every document once.  Character
 trigram models with smoothing are trained on the words of clean records (no
 replacement or C1 control character, no word that is itself valid UTF-8 read in
-a one-byte encoding).  Text that went from one one-byte encoding to another
+a one-byte encoding, unless that reading has a rarer character than the word).  Text that went from one one-byte encoding to another
 still passes as clean then, so the words that this first model already finds
 garbled are left out and the model is trained again.  Each word is scored
 against every candidate chain "encode as it was wrongly decoded, decode as it
@@ -24,7 +24,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -70,6 +70,8 @@ def _tables() -> dict[str, tuple[dict[int, int], dict[int, int]]]:
 
 
 _TABLES = _tables()
+#: Per pair of one-byte encodings: code point to code point.
+_CROSS = {(x, y): {c: _TABLES[y][1][b] for c, b in _TABLES[x][0].items()} for x in WRONG for y in RIGHT if x != y}
 
 
 def encode(word: str, encoding: str) -> bytes | None:
@@ -99,6 +101,8 @@ def _decoded(run: str, encoding: str) -> str | None:
 def _utf8(word: str) -> Iterator[tuple[str, str]]:
     """The word's readings as UTF-8 in one-byte encodings; where a character was lost, of those runs that still are valid."""
     runs = _RUN.findall(word)
+    if all(len(r) == 1 for r in runs):  # one byte alone is never valid
+        return
     for e in WRONG:
         read = [_decoded(r, e) for r in runs]
         if any(x is not None for x in read):
@@ -120,11 +124,11 @@ def chains(word: str) -> dict[tuple[str, ...], str]:
                     if not r.isascii():
                         deeper.append(((*chain, e, "utf-8"), r))
         level = deeper
+    odd = {ord(c) for c in word if not c.isascii()}  # ASCII is the same in all of them
     for x in WRONG:
-        raw = encode(word, x)
-        if raw is not None:
+        if odd <= _TABLES[x][0].keys():
             for y in RIGHT:
-                if x != y and (r := decode(raw, y)) not in seen:
+                if x != y and (r := word.translate(_CROSS[x, y])) not in seen:
                     seen.add(r)
                     out[x, y] = r
     return out
@@ -150,9 +154,13 @@ def is_lossy(word: str) -> bool:
     return "�" in word
 
 
-def looks_clean(ws: list[str]) -> bool:
-    """Fit for training: no lost or control character and no word that is valid UTF-8 in a one-byte reading."""
-    return not any(is_lossy(w) or any("\x80" <= c <= "\x9f" for c in w) or next(_utf8(w), None) for w in ws)
+def looks_clean(word: str, common: dict[str, int]) -> bool:
+    """Fit for training: no lost or control character, and no reading as UTF-8 whose rarest character is as ``common`` as the word's (``l’été`` can be read as UTF-8 too, but with an Armenian letter)."""
+    if is_lossy(word) or any("\x80" <= c <= "\x9f" for c in word):
+        return False
+    rarest = lambda w: min((common.get(c, 0) for c in w if not c.isascii()), default=0)
+    own = rarest(word)
+    return not any(rarest(r) >= own for _, r in _utf8(word))
 
 
 def _slot(order: int, gram: str) -> int:
@@ -167,19 +175,22 @@ class Model:
         self.total = counts.get(-1, 0)
         self.known: dict[str, float] = {}
 
-    def single(self, c: str) -> int:
-        return self.counts.get(_slot(0, c), 0)
+    def count(self, gram: str) -> int:
+        """At most the counts of the gram's parts, so that a gram with an unseen character has none from a shared slot."""
+        n = self.counts.get(_slot(len(gram) - 1, gram), 0)
+        return min(n, self.count(gram[1:]), self.count(gram[:-1])) if n and len(gram) > 1 else n
 
     def _log(self, gram: str) -> float:
-        got, k = self.counts.get, self.weight
-        one = (got(_slot(0, gram[2]), 0) + 0.05) / (self.total + 0.05 * 65536)
-        two = (got(_slot(1, gram[1:]), 0) + k * one) / (got(_slot(0, gram[1]), 0) + k)
-        three = (got(_slot(2, gram), 0) + k * two) / (got(_slot(1, gram[:2]), 0) + k)
+        k = self.weight
+        one = (self.count(gram[2]) + 0.05) / (self.total + 0.05 * 65536)
+        two = (self.count(gram[1:]) + k * one) / (self.count(gram[1]) + k)
+        three = (self.count(gram) + k * two) / (self.count(gram[:2]) + k)
         return math.log(three)
 
-    def score(self, word: str) -> float:
+    def score(self, word: str, ends: Iterable[int] | None = None) -> float:
+        """Log-likelihood of the word, or of its trigrams that end at the given places."""
         w, known, out = _START + _START + word + _END, self.known, 0.0
-        for i in range(2, len(w)):
+        for i in range(2, len(w)) if ends is None else ends:
             g = w[i - 2 : i + 1]
             x = known.get(g)
             if x is None:
@@ -189,19 +200,20 @@ class Model:
             out += x
         return out
 
-    def rarest(self, word: str) -> int:
-        return min((self.single(c) for c in set(word) if not c.isascii()), default=self.total)
-
     def best(self, word: str) -> tuple[float, tuple[str, ...], str]:
-        """(gain, chain, reading) of the likeliest other reading; gain -inf where there is none."""
-        floor, own, top = 2 * self.rarest(word), None, (-math.inf, (), word)
+        """(gain, chain, reading) of the likeliest other reading, every one scored; gain -inf where there is none."""
+        own, top = None, (-math.inf, (), word)
+        ends = sorted({i + k for i, c in enumerate(word) if not c.isascii() for k in (2, 3, 4) if i + k < len(word) + 3})
+        part = self.score(word, ends)
         for chain, r in chains(word).items():
-            if self.rarest(r) > floor or len(r) < len(word):  # a wrong reading has some rarer character, or more of them
-                if own is None:
-                    own = self.score(word)
-                gain = self.score(r) - own - RARE_RIGHT * (chain[-1] not in ("utf-8", "cp1252"))
-                if gain > top[0]:
-                    top = (gain, chain, r)
+            if len(r) == len(word):  # character by character: ASCII trigrams are the same
+                gain = self.score(r, ends) - part
+            else:
+                own = self.score(word) if own is None else own
+                gain = self.score(r) - own
+            gain -= RARE_RIGHT * (chain[-1] not in ("utf-8", "cp1252"))
+            if gain > top[0]:
+                top = (gain, chain, r)
         return top
 
 
@@ -221,24 +233,49 @@ def gram_counts(words: Counter) -> Counter:
 
 
 def word_lists(docs: DataFrame) -> DataFrame:
-    """``(doc_id, words, clean, held_out)`` of the documents with a suspect word."""
+    """``(doc_id, words, held_out)`` of the documents with a suspect word."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        clean_word = lru_cache(200_000)(lambda w: looks_clean([w]))
         for b in batches:
             rows = [(d, ws) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (ws := suspects(t))]
             d, ws = zip(*rows, strict=True) if rows else ((), ())
-            clean = [all(map(clean_word, x)) for x in ws]
             held = [zlib.crc32(repr(x).encode()) % HELD_OUT == 0 for x in d]
-            yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array(ws, pa.list_(pa.string())), pa.array(clean, pa.bool_()), pa.array(held, pa.bool_())], ["doc_id", "words", "clean", "held_out"])
+            yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array(ws, pa.list_(pa.string())), pa.array(held, pa.bool_())], ["doc_id", "words", "held_out"])
+
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, words array<string>, held_out boolean")
+
+
+def character_counts(lists: DataFrame) -> dict[str, int]:
+    """How often the suspect words of all documents hold each character; as many numbers as there are characters at most."""
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        c: Counter = Counter()
+        for b in batches:
+            for ws in b.column(0).to_pylist():
+                c.update("".join(ws))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["c", "n"])
+
+    rows = lists.select("words").mapInArrow(run, "c string, n bigint").groupBy("c").agg(F.sum("n").alias("n"))
+    return {r.c: r.n for r in rows.toLocalIterator()}
+
+
+def marked(lists: DataFrame, common: dict[str, int]) -> DataFrame:
+    """``(words, clean, held_out)``: clean where every word looks clean."""
+    shared = lists.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        clean_word = lru_cache(200_000)(lambda w: looks_clean(w, shared.value))
+        for b in batches:
+            clean = [all(map(clean_word, ws)) for ws in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(clean, pa.bool_()), b.column(1)], ["words", "clean", "held_out"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, words array<string>, clean boolean, held_out boolean")
+    return lists.select("words", "held_out").mapInArrow(run, "words array<string>, clean boolean, held_out boolean")
 
 
 def word_counts(lists: DataFrame) -> DataFrame:
     """``(word, n_train, n_held)``: every distinct suspect word, and how often clean records in and out of training hold it."""
-    words = lists.select(F.explode("words").alias("word"), "clean", "held_out")
+    words = marked(lists, character_counts(lists)).select(F.explode("words").alias("word"), "clean", "held_out")
     kept, held = F.col("clean") & ~F.col("held_out"), F.col("clean") & F.col("held_out")
     return words.groupBy("word").agg(F.count_if(kept).alias("n_train"), F.count_if(held).alias("n_held"))
 
