@@ -7,6 +7,10 @@ neighbours with a common prefix of ``min_tokens`` tokens, that span is shared.
 Two suffixes share a span of at least ``min_tokens`` tokens exactly if their
 truncations are equal, and a longer shared span is the union of such spans, so
 truncation loses nothing.  Shared spans are merged into a coverage per record.
+
+No common prefix length is computed: equal truncations are grouped.  The queries
+here take single fields as tokens and a least span of 1, where a suffix is one
+field and the method reduces to a token equi-join; no suffix array is built.
 """
 
 from __future__ import annotations
