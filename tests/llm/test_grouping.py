@@ -219,3 +219,12 @@ def test_copies_empty(spark):
 def test_parse_line():
     assert plain.parse_line('{"human_src": "a", "llm_src": "b", "x": [1]}') == ("a", "b")
     assert [plain.parse_line(x) for x in (None, " ", "null", '"s"', '{"human_src": "a"}')] == [None] * 5
+
+
+def test_rows_of_pooled_sources_count_as_placed(spark, monkeypatch):
+    monkeypatch.setattr(split_assign, "LARGE", 3)
+    big = [(i, "big", "big", "s0" if i == 0 else None if i == 1 else f"small{i}") for i in range(60)]
+    rows = [*big, *((100 + i, f"c{i}", f"c{i}", f"s{i % 3}") for i in range(60))]
+    out = split_assign.assign_splits(spark.createDataFrame(rows, "id bigint, a string, b string, source string"), [("train", 0.5), ("test", 0.5)])
+    n = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert n == {"train": 60, "test": 60}

@@ -9,7 +9,8 @@ and each vertex takes the label of its component.
 
 Split: components that hold at least one row in ``LARGE`` are at most that
 many; they are placed first, largest first, where the shortfall against the
-targets is greatest, over all rows and within each source.  The rest follow in
+targets is greatest, over all rows and within each of the ``LARGE`` largest
+sources; the other sources count as one together.  The rest follow in
 the order of a hash of the component, cut where the running number of rows
 fills what each split still lacks.
 """
@@ -68,8 +69,8 @@ def components(edges: DataFrame, waves: tuple[int, ...] = WAVES) -> DataFrame:
     return labelled.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
-def _place_large(large: list, sources: list[str | None], totals: dict, shares: list[tuple[str, float]]) -> tuple[dict, dict]:
-    """Split of each large component, and rows placed by (split, source)."""
+def _place_large(large: list, sources: list[tuple], totals: dict, shares: list[tuple[str, float]]) -> tuple[dict, dict]:
+    """Split of each large component, and rows placed by (split, source); a source is a tuple of its name, () all that are pooled."""
     placed = {(s, g): 0 for s, _ in shares for g in sources}
     where = {}
     for root, counts in large:
@@ -106,14 +107,18 @@ def assign_splits(rows: DataFrame, shares: list[tuple[str, float]]) -> DataFrame
     comp = components(ended.select("a", "b"))
     rooted = stash(ended.join(comp.withColumnRenamed("node", "a"), "a").select("id", "root", "source"), "rooted")
     sizes = stash(rooted.groupBy("root", "source").agg(F.count("*").alias("n")), "sizes")
-    by_source = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(LARGE).collect()}
+    by_source: dict = {(r.source,): r.n for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(LARGE).collect()}
     all_rows = sizes.agg(F.sum("n")).first()[0] or 0
+    named = F.coalesce(F.col("source").isin([s for s, in by_source if s is not None]), F.lit((None,) in by_source))
+    if pooled := all_rows - sum(by_source.values()):
+        by_source[()] = pooled
     whole = sizes.groupBy("root").agg(F.sum("n").alias("size"))
     large_roots = whole.where(F.col("size") * LARGE >= all_rows)  # at most LARGE of them
     mixed: dict[str, dict] = {}
     order: dict[str, int] = {}
-    for r in sizes.join(large_roots, "root").where(F.col("source").isin([s for s in by_source if s is not None]) | F.col("source").isNull()).collect() if all_rows else []:
-        mixed.setdefault(r.root, {})[r.source] = r.n
+    held = sizes.withColumn("named", named).groupBy("root", "named", F.when(F.col("named"), F.col("source")).alias("source")).agg(F.sum("n").alias("n"))
+    for r in held.join(large_roots, "root").collect() if all_rows else []:
+        mixed.setdefault(r.root, {})[(r.source,) if r.named else ()] = r.n
         order[r.root] = r.size
     large = [(k, mixed[k]) for k in sorted(mixed, key=lambda k: (-order[k], k))]
     where, placed = _place_large(large, list(by_source), by_source, shares)
@@ -141,7 +146,7 @@ def assign_splits(rows: DataFrame, shares: list[tuple[str, float]]) -> DataFrame
 
 def pair_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "pair_spec").select(F.col("pair_id").alias("id"), F.col("human_component_id").alias("a"), F.col("candidate_component_id").alias("b"), F.col("llm_source").alias("source"))
-    targets = [(r.side, r.share) for r in table(spark, sf_dir, "split_targets").where("side is not null and share is not null").orderBy("side").limit(100).collect()]
+    targets = [(r.side, r.share) for r in table(spark, sf_dir, "split_targets").where("side is not null and share is not null").orderBy("side").collect()]
     return assign_splits(pairs, targets)
 
 
