@@ -221,6 +221,13 @@ def test_parse_line():
     assert [plain.parse_line(x) for x in (None, " ", "null", '"s"', '{"human_src": "a"}')] == [None] * 5
 
 
+def test_equal_digests_of_unlike_texts(spark):
+    forms = [(b"a", b"x"), (b"b", b"x"), (b"b", b"y")]
+    rows = [(b"one", i, *forms[i % 3]) for i in range(600)] + [(b"two", 900, b"a", b"z"), (b"six", 901, b"a", b"w"), (b"six", 902, b"a", b"w")]
+    got = canonical_dups.copies(spark.createDataFrame(rows, "digest binary, record_id bigint, human binary, llm binary").repartition(8)).collect()
+    assert sorted(map(tuple, got)) == sorted([(i % 3, i, 200) for i in range(600)] + [(900, 900, 1), (901, 901, 2), (901, 902, 2)])
+
+
 def test_rows_of_pooled_sources_count_as_placed(spark, monkeypatch):
     monkeypatch.setattr(split_assign, "LARGE", 3)
     big = [(i, "big", "big", "s0" if i == 0 else None if i == 1 else f"small{i}") for i in range(60)]

@@ -5,8 +5,8 @@ externally sorted by a 128-bit key of both forms, then by the full forms and
 the record id; Spark's sort spills to disk as needed.  A scan of each sorted
 partition compares the full forms of neighbours and numbers the runs.  As the
 record id is part of the sort key, a run that holds a large part of all rows is
-spread over many partitions; a run cut by a partition end is put together again
-from one row per partition and run.
+spread over many partitions; only runs of a partition's first and last key can be
+cut by its ends, and they are put together again by their full forms.
 """
 
 from __future__ import annotations
@@ -46,16 +46,32 @@ def canonical(records: DataFrame) -> DataFrame:
 
 
 def _scan(batches) -> Iterator[pa.RecordBatch]:
-    """``(part, run, digest, first_id, record_id)`` of a sorted partition; the run's full forms are compared."""
+    """``(part, run, first_id, record_id, human, llm)`` of a sorted partition; the run's full forms are compared.
+
+    The forms are null but in one more row, without record_id, for each run of the first and last digest.
+    """
     part, run, last, first = TaskContext.get().partitionId(), -1, None, None
+    head: list[tuple] | None = None  # runs of the first digest, and of the one that is being read
+    tail: list[tuple] = []
+
+    def rows(*columns) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["part", "run", "first_id", "record_id", "human", "llm"])
+
     for b in batches:
         runs, firsts = [], []
         for d, i, h, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (d, h, m) != last:
+                if last is not None and d != last[0]:
+                    head, tail = tail if head is None else head, []
                 run, last, first = run + 1, (d, h, m), i
+                tail.append((part, run, i, None, h, m))
             runs.append(run)
             firsts.append(first)
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(runs), pa.int32()), pa.array(runs, pa.int64()), b.column(0), pa.array(firsts, pa.int64()), b.column(1)], ["part", "run", "digest", "first_id", "record_id"])
+        none = [None] * len(runs)
+        yield rows([part] * len(runs), runs, firsts, b.column(1), none, none)
+    if last is not None:
+        yield rows(*zip(*(head or []), *tail, strict=True))
 
 
 def copies(canon: DataFrame) -> DataFrame:
@@ -66,11 +82,15 @@ def copies(canon: DataFrame) -> DataFrame:
     """
     spark = canon.sparkSession
     ordered = canon.repartitionByRange(shuffle_width(spark), "digest", "record_id").sortWithinPartitions("digest", "human", "llm", "record_id")
-    runs = stash(ordered.mapInArrow(_scan, "part int, run bigint, digest binary, first_id bigint, record_id bigint").dropDuplicates(["part", "run", "record_id"]), "runs")
-    per_part = runs.groupBy("part", "run").agg(F.first("digest").alias("digest"), F.min("first_id").alias("first_id"), F.count("*").alias("n"))
-    # equal full forms have equal digests; two texts of one 128-bit digest are kept apart within a partition by their run
-    whole = per_part.groupBy("digest").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("n_copies"))
-    return runs.join(whole, "digest").select("keep_id", "record_id", "n_copies")
+    scanned = stash(ordered.mapInArrow(_scan, "part int, run bigint, first_id bigint, record_id bigint, human binary, llm binary").dropDuplicates(["part", "run", "record_id"]), "runs")
+    runs, edges = scanned.where("record_id is not null").select("part", "run", "first_id", "record_id"), scanned.where("record_id is null").select("part", "run", "human", "llm")
+    per_part = runs.groupBy("part", "run").agg(F.min("first_id").alias("first_id"), F.count("*").alias("n"))
+    # equal full forms have equal digests, so they meet at partition ends only; two texts of one 128-bit digest stay apart
+    per_part = per_part.hint("merge")  # the files look small without their forms, but aren't bounded: no broadcast
+    cut = per_part.join(edges, ["part", "run"]).groupBy("human", "llm").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("n_copies"), F.collect_list(F.struct("part", "run")).alias("at"))
+    cut = cut.select(F.explode("at").alias("at"), "keep_id", "n_copies").select("at.part", "at.run", "keep_id", "n_copies")
+    inner = per_part.join(edges.select("part", "run"), ["part", "run"], "left_anti").select("part", "run", F.col("first_id").alias("keep_id"), F.col("n").alias("n_copies"))
+    return runs.hint("merge").join(inner.unionByName(cut), ["part", "run"]).select("keep_id", "record_id", "n_copies")
 
 
 def _task_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
