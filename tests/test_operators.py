@@ -228,3 +228,16 @@ def test_feature_cache_measures_new_snippets_only(spark, tmp_path):
     assert measure.cached(make(["x = 1", "y = 2"]), path).count() == 2
     assert measure.cached(make(["y = 2", "z = 3"]), path).count() == 2
     assert spark.read.parquet(path).count() == 3
+
+
+def test_line_layout_of_all_line_ends(spark, tmp_path):
+    import hashlib
+
+    from twinloom.plans.code import line_layout, line_layout_all
+
+    texts = {1: "\r\n\r\na \r\n\r\nb\t\r\n \r\n\r\n\r\nc  ", 2: "a \r\r\r\rb\r", 3: "\na \n\n\n\nb \n", 4: "a\r\n\r\nb", 5: None}
+    want = {1: ("a\r\n\r\nb\r\n\r\nc", 5), 2: ("a\r\rb\r", 4), 3: ("a\n\nb\n", 4), 4: ("a\r\n\r\nb", 3)}
+    spark.createDataFrame(list(texts.items()), "record_id bigint, human_src string").write.parquet(f"{tmp_path}/task1.parquet")
+    got = {r.record_id: (r.output_sha256, r.n_lines) for r in line_layout_all(spark, str(tmp_path)).collect()}
+    assert got == {k: (hashlib.sha256(t.encode()).hexdigest(), n) for k, (t, n) in want.items()}
+    assert {r.record_id: (r.output_sha256, r.n_lines) for r in line_layout(spark, str(tmp_path)).collect()} == {3: got[3]}

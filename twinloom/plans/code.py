@@ -179,12 +179,20 @@ def comment_injection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trailing blanks removed and runs of blank lines collapsed (unprotected text): digest and number of lines kept."""
+    """Trailing blanks removed and runs of blank lines collapsed (unprotected text): digest and number of lines kept. Records with a carriage return are left out, as in the SQL; line_layout_all has them."""
     bare = F.regexp_replace("human_src", r"(?m)[ \t]+$", "")
     calm = F.regexp_replace(F.regexp_replace(bare, r"\n{3,}", "\n\n"), r"^\n+", "")
     return _task(spark, sf_dir).where("human_src is not null and human_src not like '%\r%'").select("record_id", F.sha2(calm, 256).alias("output_sha256"), F.size(F.split(calm, "\n")).cast("bigint").alias("n_lines"))
 
 
+def line_layout_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_layout of every record with human_src: lines end with CRLF, LF or CR as in the transforms, and kept lines keep their ends."""
+    end = r"(?>\r\n|\n|\r)"
+    bare = F.regexp_replace("human_src", r"[ \t]+(?=[\r\n]|\z)", "")
+    calm = F.regexp_replace(F.regexp_replace(bare, f"({end}{end}){end}+", "$1"), r"\A[\r\n]+", "")
+    return _task(spark, sf_dir).where("human_src is not null").select("record_id", F.sha2(calm, 256).alias("output_sha256"), F.size(F.split(calm, r"\r\n|\n|\r")).cast("bigint").alias("n_lines"))
+
+
 def _ratio(a: F.Column, b: F.Column) -> F.Column:
     return F.when((a > 0) & (b > 0), F.least(a, b) / F.greatest(a, b)).otherwise(0.0)
 
@@ -239,7 +247,7 @@ QUERIES = {
     for f in (
         strict_jsonl_scan, normalize_source_id, code_sha_inventory, naming_class_counts, naming_consistency, indentation_consistency,
         identifier_entropy, identifier_length_stats, format_features, brace_nesting_depth, line_comment_ratio, code_vectors, record_features,
-        transform_audit, transform_summary, attack_feature_shift, first_k_groups, comment_injection, line_layout, pair_difficulty, binary_metrics, auroc_rank,
+        transform_audit, transform_summary, attack_feature_shift, first_k_groups, comment_injection, line_layout, line_layout_all, pair_difficulty, binary_metrics, auroc_rank,
     )
 }
 
