@@ -1,6 +1,7 @@
 """Ledgers of fold results, their summaries and decision gates, as SQL that both engines run.
 
-The ledger is made of the events table: an event type is a language, a user's
+The ledger is made of the events table: an event type but ``error`` is a language
+(four are left, as the gates ask; ``error`` events are in none of the results), a user's
 rest by 3 a seed, an event's rest by 5 a fold, then method, hold-out and
 condition; a cell's score is its mean value scaled to at most 1.
 """
