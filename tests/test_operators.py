@@ -241,3 +241,19 @@ def test_line_layout_of_all_line_ends(spark, tmp_path):
     got = {r.record_id: (r.output_sha256, r.n_lines) for r in line_layout_all(spark, str(tmp_path)).collect()}
     assert got == {k: (hashlib.sha256(t.encode()).hexdigest(), n) for k, (t, n) in want.items()}
     assert {r.record_id: (r.output_sha256, r.n_lines) for r in line_layout(spark, str(tmp_path)).collect()} == {3: got[3]}
+
+
+def test_chain_over_all_seeds(spark):
+    import os
+
+    from twinloom.plans import bank
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    for name in ("fold_assignment", "leakage_audit"):
+        one, all_three = bank.QUERIES[name](spark, sf), bank.QUERIES[f"{name}_seeds"](spark, sf)
+        rows = all_three.collect()
+        assert {r.seed for r in rows} == {42, 123, 2024}
+        assert sorted(tuple(r[c] for c in one.columns) for r in rows if r.seed == 42) == sorted(map(tuple, one.collect()))
+    assert not any(r.endpoint_leakage or r.content_leakage or r.component_violations or r.repeated_pairs for r in rows)

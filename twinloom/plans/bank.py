@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from twinloom.sources.tables import table
 
 N_FOLDS = 5
 SEED = 42
+SEEDS = (42, 123, 2024)  # the closed seed axis; queries without seed column and with SQL are of SEED alone
 FIRST_K = 100
 
 
@@ -55,22 +59,22 @@ def component_table(rooted: DataFrame, seed: int) -> DataFrame:
     return sizes.withColumn("tie", F.sha2(F.concat_ws("|", F.lit(str(seed)), "language", "root"), 256))
 
 
-def folds(bank: DataFrame, seed: int = SEED, n_folds: int = N_FOLDS) -> DataFrame:
+def folds(bank: DataFrame, seeds: tuple[int, ...] = (SEED,), n_folds: int = N_FOLDS) -> DataFrame:
     """``(language, origin, root, seed, fold)``."""
     rooted = stash(roots(bank), "roots")
-    placed = assign_folds(component_table(rooted, seed), n_folds)
-    return rooted.join(placed.select("language", "root", "fold"), ["language", "root"]).withColumn("seed", F.lit(seed))
+    placed = [assign_folds(component_table(rooted, s), n_folds).select("language", "root", "fold", F.lit(s).alias("seed")) for s in seeds]
+    return rooted.join(reduce(DataFrame.unionByName, placed), ["language", "root"])
 
 
-def placed_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+def placed_sides(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """Bank rows by fold side with their hash positions."""
     bank = complete_bank(spark, sf_dir)
-    members = pairing.sides(bank.select("language", "origin", "generator", "human_sha", "candidate_sha"), folds(bank), [SEED], N_FOLDS)
+    members = pairing.sides(bank.select("language", "origin", "generator", "human_sha", "candidate_sha"), folds(bank, seeds), list(seeds), N_FOLDS)
     return stash(pairing.positions(members), "placed")
 
 
-def current_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = placed_sides(spark, sf_dir)
+def current_pairs(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    placed = placed_sides(spark, sf_dir, seeds)
     return pairing.labelled_pairs(placed, pairing.current_negatives(placed), "current")
 
 
@@ -120,24 +124,28 @@ def component_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_positions(comps, ["language", "size"], "tie", "root", "place").select("language", "root", "size", "place")
 
 
-def fold_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds(complete_bank(spark, sf_dir)).select("language", "origin", "root", F.col("fold").cast("bigint").alias("fold"))
+def _seed(seeds: tuple[int, ...]) -> list[str]:
+    return ["seed"] if len(seeds) > 1 else []
+
+
+def fold_assignment(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    return folds(complete_bank(spark, sf_dir), seeds).select("language", *_seed(seeds), "origin", "root", F.col("fold").cast("bigint").alias("fold"))
 
 
-def hash_order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed_sides(spark, sf_dir).select("language", F.col("fold").cast("bigint").alias("fold"), "side", "generator", "origin", "pos", "n")
+def hash_order_positions(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    return placed_sides(spark, sf_dir, seeds).select("language", *_seed(seeds), F.col("fold").cast("bigint").alias("fold"), "side", "generator", "origin", "pos", "n")
 
 
-def derangement_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.derangement_offsets(placed_sides(spark, sf_dir)).select("language", F.col("fold").cast("bigint").alias("fold"), "side", "generator", "offset")
+def derangement_offset(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    return pairing.derangement_offsets(placed_sides(spark, sf_dir, seeds)).select("language", *_seed(seeds), F.col("fold").cast("bigint").alias("fold"), "side", "generator", "offset")
 
 
-def negatives_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.current_negatives(placed_sides(spark, sf_dir)).select("language", F.col("fold").cast("bigint").alias("fold"), "side", "generator", "human_origin", "candidate_origin")
+def negatives_current(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    return pairing.current_negatives(placed_sides(spark, sf_dir, seeds)).select("language", *_seed(seeds), F.col("fold").cast("bigint").alias("fold"), "side", "generator", "human_origin", "candidate_origin")
 
 
-def negatives_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairing.random_negatives(placed_sides(spark, sf_dir)).select("language", F.col("fold").cast("bigint").alias("fold"), "side", "generator", "human_origin", "candidate_origin")
+def negatives_random(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    return pairing.random_negatives(placed_sides(spark, sf_dir, seeds)).select("language", *_seed(seeds), F.col("fold").cast("bigint").alias("fold"), "side", "generator", "human_origin", "candidate_origin")
 
 
 def negatives_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,12 +158,12 @@ def negatives_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.nearest_other(queries, rows, by).select(*by, F.col("query").alias("human_row"), F.col("id").alias("candidate_row"), F.round("distance", 6).alias("distance"))
 
 
-def pairs_leave_one_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs_leave_one_generator(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """Pairs by held-out generator: it alone on the test side, the others on the train side."""
-    pairs = current_pairs(spark, sf_dir)
+    pairs = current_pairs(spark, sf_dir, seeds)
     held = pairs.select(F.col("generator").alias("heldout")).distinct()
     use = pairs.join(F.broadcast(held)).where("(side = 'test') = (generator = heldout)")
-    return use.groupBy("language", "heldout", F.col("fold").cast("bigint").alias("fold"), "side", F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n_pairs"), F.countDistinct("human_origin").alias("n_humans"))
+    return use.groupBy("language", *_seed(seeds), "heldout", F.col("fold").cast("bigint").alias("fold"), "side", F.col("label").cast("bigint").alias("label")).agg(F.count("*").alias("n_pairs"), F.countDistinct("human_origin").alias("n_humans"))
 
 
 def pairs_leave_one_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +174,10 @@ def pairs_leave_one_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.groupBy(F.col("language").alias("heldout_language")).agg(F.count("*").alias("n_digests"), F.count_if("is_shared").alias("n_shared"))
 
 
-def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+def leakage_audit(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
     """Per language, fold and generator: pairs, origins and digests on both sides, negatives within a component, repeated pairs. All leakage counts must be 0."""
-    pairs = stash(current_pairs(spark, sf_dir), "pairs")
-    by = ["language", "fold", "generator"]
+    pairs = stash(current_pairs(spark, sf_dir, seeds), "pairs")
+    by = ["language", *_seed(seeds), "fold", "generator"]
 
     def on_both_sides(a: str, b: str, name: str) -> DataFrame:
         ends = pairs.select(*by, "side", F.explode(F.array(a, b)).alias("x")).groupBy(*by, "x").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
@@ -208,6 +216,19 @@ QUERIES = {
 }
 
 
+def _of_all_seeds(f: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, SEEDS)
+
+    run.__name__ = f"{f.__name__}_seeds"
+    return run
+
+
+#: The same over all three seeds, with the seed as a column.
+_SEEDED = (fold_assignment, hash_order_positions, derangement_offset, negatives_current, negatives_random, pairs_leave_one_generator, leakage_audit)
+QUERIES |= {f"{f.__name__}_seeds": _of_all_seeds(f) for f in _SEEDED}
+
+
 def _d(c: str) -> str:
     return f"nullif(regexp_replace(lower({c}), '^\\s*(sha256:)?\\s*|\\s+$', '', 'g'), '')"
 
