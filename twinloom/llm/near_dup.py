@@ -1,31 +1,40 @@
 """Near-duplicate records with small edits by a grouped prefix join.
 
-A text is the set of its distinct 8-character substrings.  Texts with the same
-plain form (hence identical prefixes and size) are collapsed into one group
-first.  The substrings are put in one global order, rare ones first, by a
-hashed frequency table of fixed size counted over all texts.  If two sets have
-a likeness of at least ``T`` they share at least ``t >= T * max size``
-substrings, so the first ``n - ceil(T n) + K`` of each share at least
-``min(K, t)`` (the K-overlap form of prefix filtering).  Prefixes are cut into
-S token shards and sent as packed arrays, one row per text and shard; by the
-pigeonhole principle a true pair shares at least ``min(K, t) / S`` tokens in
-some shard.  Candidates that pass are verified on the full texts, exactly.
-Verified group links are expanded to records over both columns, and linked
-records are consolidated by graph contraction.
-
-A token that more than ``RUN`` texts of a shard hold (a large family of near
-copies) is not paired out: its texts are only chained, in order of size, and
-the token is set aside.  Tokens of very high frequency are spread over shards
-by salt, chained there and always set aside.  Once the records linked so far
-have been consolidated, a second pass pairs the texts of those tokens whose
-records are not in one group yet, so that a family costs about its size, not
-its square, and no link between groups is lost.  As a pair may share its tokens
-on either side of this division, each side asks for half of them.
+A text is the set of its distinct 8-character substrings, n of them; equal plain
+forms are one text.  The substrings are put in one global order, rare ones
+first, by a hashed table of frequency classes counted over all texts.  Two sets
+with a likeness of at least ``T`` share at least ``t = T / (1 + T) * (n + m)``
+substrings; so their first ``n - t + K`` and ``m - t + K`` in the order share
+at least K, for any K up to t.  Therefore a text keeps the prefix that its
+smallest possible partner needs, ``n - T n + K``, and each substring carries the
+largest partner for which it still counts (later ones only serve small partners).
+
+Texts with identical prefix and size are one group, and only groups are joined.
+Prefixes are cut into token shards and sent as packed arrays, one row a group
+and shard, one shard a task; a shard's task counts the shared substrings of its
+group pairs.  These counts are summed over all shards before the overlap filter,
+so that neither the filter nor the candidates depend on the number of shards.
+Group pairs that pass are expanded to their members, which are verified on the full
+texts, exactly.  Verified links are expanded to records over both columns, and
+linked records are consolidated by graph contraction.
+
+A token that more than ``RUN`` groups hold (a large family of near copies) is not
+paired out: its groups are only chained, in order of size, and the token is set
+aside.  Tokens of very high frequency are spread over shards by salt, chained
+there and always set aside.  Likewise the members of large groups are linked with
+their group's least member only.  Once the records linked so far have been
+consolidated, a second pass seeks the pairs that are not in one group yet, so that
+a family costs about its size, not its square, and no link between groups is
+lost.  As a pair may share its K tokens on either side of this division, the first
+pass asks for half of them and the second for the other half, by a prefix filter
+over the tokens set aside alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,19 +42,23 @@ from pyspark.sql import functions as F
 
 from twinloom.llm.contraction import contract
 from twinloom.llm.plain import key, plain, record_keys
-from twinloom.runtime import discard, stash
+from twinloom.runtime import stash
 from twinloom.sources.tables import table
 
 WIDTH = 8
 THRESHOLD = 0.6
-OVERLAP = 48  # K
-RUN = 256  # texts of a shard with one token that are paired out
+OVERLAP = 16  # K, less for short texts
+RUN = 256  # groups with one token that are paired out
 HOT = 100_000  # occurrences above four times the mean slot from which a token is spread, and texts a salt
-SLOT_BITS = 20  # frequency table: 2**20 slots of 4 bytes, whatever the data
+SLOT_BITS = (16, 25)  # frequency table: from 2**16 to 2**25 classes of one byte
 SHARD_TOKENS = 4_000_000
-PAIRS = 2_000_000  # pairs by token that are counted at once
+PAIRS = 16_000_000  # pairs by token that are looked at in one block, at most
 TEXTS = 2_000  # texts hashed at once
-_CHUNK = 1 << 12
+MEMBERS = 64  # member pairs of two groups that are expanded at once
+_CHUNK = 1 << 16
+_SINGLE = 1
+_CERTAIN = 1 << 20  # count of a pair that is verified whatever it shares
+_OWNERS = 1 << 24
 
 
 def hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -69,6 +82,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 def least_shared(n: int, threshold: float) -> int:
+    """Substrings shared with the smallest partner, of size threshold * n, at least."""
     return math.ceil(threshold * n - 1e-9)
 
 
@@ -100,16 +114,40 @@ def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(values[cuts[0] : cuts[-1]]).tobytes())])
 
 
-def prefix(x: np.ndarray, freq: np.ndarray, threshold: float = THRESHOLD, overlap: int | None = None) -> tuple[int, np.ndarray]:
-    """Number of distinct hashes, and the prefix in the global order as (slot frequency << 44 | hash bits within the slot), unsorted.
+def least_overlap(n):
+    """K for a text of n substrings; that of a pair is its smaller text's."""
+    return np.clip(np.asarray(n) // 16, 1, OVERLAP)
+
+
+def frequency_class(counts: np.ndarray) -> np.ndarray:
+    """Classes 0 to 255 of counts, in their order: exact below 16, then six an octave."""
+    f = np.maximum(counts.astype(np.float64), 16)
+    return np.where(counts < 16, counts, np.minimum(255, 16 + np.floor(6 * np.log2(f / 16)))).astype(np.uint8)
+
+
+def class_count(c: np.ndarray) -> np.ndarray:
+    """Least count of a class."""
+    return np.where(c < 16, c, 16 * 2.0 ** ((c - 16.0) / 6)).astype(np.int64)
 
-    The code is injective up to the frequency and the same for all texts.
+
+def prefix(x: np.ndarray, classes: np.ndarray, threshold: float = THRESHOLD) -> tuple[int, np.ndarray]:
+    """Number of distinct hashes, and the sorted prefix in the global order as (frequency class << 56 | hash bits).
+
+    The code is the same for all texts.
     """
     x = _distinct(x)
     n = len(x)
-    order = (np.minimum(freq[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (x & np.uint64((1 << 44) - 1))
-    m = min(n, n - least_shared(n, threshold) + (OVERLAP if overlap is None else overlap))
-    return n, order if m == n else np.partition(order, m - 1)[:m]
+    bits = len(classes).bit_length() - 1
+    order = (classes[(x >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (x & np.uint64((1 << 56) - 1))
+    m = min(n, n - least_shared(n, threshold) + int(least_overlap(n)))
+    return n, np.sort(order if m == n else np.partition(order, m - 1)[:m])
+
+
+def partner_limits(n: np.ndarray, pos: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """For a token at place pos of a text of n: the largest partner it counts for, in 128ths of n, rounded up."""
+    share = threshold / (1 + threshold)
+    most = (n * (1 - share) + least_overlap(n) - pos) / share
+    return np.clip(np.ceil(most / n * 128 + 1e-6), 0, 255).astype(np.uint8)
 
 
 def _texts(source: DataFrame) -> DataFrame:
@@ -135,162 +173,234 @@ def _texts(source: DataFrame) -> DataFrame:
     return source.select("human_src", "llm_src").mapInArrow(emit, "side int, k binary, text binary").repartition("side", "k").dropDuplicates(["side", "k"])
 
 
-def frequencies(texts: DataFrame) -> np.ndarray:
-    """Occurrences of substrings by hash slot over all texts; 4 MB however many texts there are."""
+def frequency_classes(texts: DataFrame, bits: int) -> np.ndarray:
+    """Frequency class of the substrings by hash slot, counted over all texts; 2**bits bytes however many texts there are."""
 
     def count(batches):
-        total = np.zeros(1 << SLOT_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint32)
         for b in pieces(batches):
             x, first, n = batch_hashes(b.column(0))
             valid = np.zeros(len(x) + 1, np.int8)  # +1 where a text's substrings begin, -1 where they end
             np.add.at(valid, first[n > 0], 1)
             np.add.at(valid, (first + n)[n > 0], -1)
-            slots = (x[np.cumsum(valid[:-1]).astype(bool)] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-            total += np.bincount(slots, minlength=1 << SLOT_BITS).astype(np.uint32)
-        yield _chunks(total)
+            np.add.at(total, (x[np.cumsum(valid[:-1]).astype(bool)] >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+        cut = total.reshape(-1, min(_CHUNK, 1 << bits))
+        for at in range(0, len(cut), 16):  # a byte a slot, and what exceeds it apart
+            ids, low, more = [], [], []
+            for i in range(at, min(at + 16, len(cut))):
+                if cut[i].any():
+                    over = np.flatnonzero(cut[i] > 255)
+                    ids.append(i)
+                    low.append(np.minimum(cut[i], 255).astype(np.uint8).tobytes())
+                    more.append(np.stack((over, cut[i][over] - 255)).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(low, pa.binary()), pa.array(more, pa.binary())], ["i", "low", "more"])
 
     def merge(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(c, np.uint32)
-                total[i] = total[i] + np.minimum(x, np.uint32(0xFFFFFFFF) - total[i]) if i in total else x.copy()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["i", "c"])
+            for i, low, more in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(low, np.uint8).astype(np.int64)
+                at, n = np.frombuffer(more, np.int64).reshape(2, -1)
+                x[at] += n
+                total[i] = total[i] + x if i in total else x
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([frequency_class(v).tobytes() for v in total.values()], pa.binary())], ["i", "c"])
 
-    def _chunks(total):
-        cut = total.reshape(-1, _CHUNK)
-        used = np.flatnonzero(cut.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([cut[i].tobytes() for i in used], pa.binary())], ["i", "c"])
+    out = np.zeros(1 << bits, np.uint8)
+    wide = min(_CHUNK, 1 << bits)
+    for r in texts.select("text").mapInArrow(count, "i int, low binary, more binary").repartition("i").mapInArrow(merge, "i int, c binary").collect():  # 2**bits bytes in all
+        out[r.i * wide : (r.i + 1) * wide] = np.frombuffer(r.c, np.uint8)
+    return out
 
-    kind = "i int, c binary"
-    freq = np.zeros(1 << SLOT_BITS, np.uint32)
-    for r in texts.select("text").mapInArrow(count, kind).repartition("i").mapInArrow(merge, kind).collect():
-        freq[r.i * _CHUNK : (r.i + 1) * _CHUNK] = np.frombuffer(r.c, np.uint32)
-    return freq
 
+def _mixed(o: np.ndarray) -> np.ndarray:
+    o = o * np.uint64(0xBF58476D1CE4E5B9)
+    return o ^ (o >> np.uint64(29))
 
-def _prefix_rows(texts: DataFrame, freq, shards: dict[int, int], threshold: float) -> DataFrame:
-    """``(shard, k, n, tokens, hot)``: the prefix of each text, packed by token shard; shards of side 1 are negative."""
+
+def _prefix_rows(texts: DataFrame, classes, shards: dict[int, int], threshold: float) -> DataFrame:
+    """``(shard, g, k, n, tokens, limits, hot)``: the prefix of each group, packed by token shard; shards of side 1 follow those of side 0.
+
+    A text's key k is in one of its group's rows, that of its first token.
+    Tokens that occur once in all texts are left out.
+    """
 
     def emit(batches):
-        f = freq.value
-        bound = HOT + 4 * int(f.mean())
-        width = max(shards.values())
+        table_ = classes.value
+        known = class_count(np.arange(256))
+        mean = int(np.bincount(table_, minlength=256) @ known) // len(table_)
+        hot_class = int(frequency_class(np.array([HOT + 4 * mean]))[0])
+        salts = (known // HOT + 1).astype(np.uint64)
+        seen: set[int] = set()
         for b in pieces(batches):
             x, first, count = batch_hashes(b.column(2))
-            sides = b.column(0).to_numpy()
-            parts, n = [], np.zeros(len(first), np.int32)
-            for i, (at, m) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
-                n[i], o = prefix(x[at : at + m], f, threshold)
-                parts.append(o)
-            text = np.repeat(np.arange(len(parts)), [len(o) for o in parts])
-            o = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            often = (o >> np.uint64(44)).astype(np.int64)
-            o = o * np.uint64(0xBF58476D1CE4E5B9)
-            o ^= o >> np.uint64(29)
-            hot, at = often >= bound, o >> np.uint64(32)
+            sides = b.column(0).to_numpy().astype(np.int64)
+            codes, places, sizes, groups, fresh = [], [], [], [], []
+            for side, at, m in zip(sides.tolist(), first.tolist(), count.tolist(), strict=True):
+                n, o = prefix(x[at : at + m], table_, threshold)
+                g = int.from_bytes(hashlib.blake2b(o.tobytes(), digest_size=8, salt=n.to_bytes(8, "little"), person=bytes([side])).digest(), "little", signed=True)
+                often = np.flatnonzero((o >> np.uint64(56)) != _SINGLE)
+                codes.append(o[often])
+                places.append(often)
+                sizes.append(n)
+                groups.append(g)
+                fresh.append(g not in seen)
+                seen.add(g)
+            if len(seen) > 1_000_000:  # only saves shuffle: a group that comes again is collapsed in its shards
+                seen.clear()
+            n, g = np.array(sizes, np.int64), np.array(groups, np.int64)
+            lengths = np.array([len(o) for o in codes], np.int64)
+            text = np.repeat(np.arange(len(codes)), lengths)
+            home = np.zeros(len(text), bool)
+            home[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+            o, pos = (np.concatenate(v) if v else np.empty(0, np.uint64) for v in (codes, places))
+            limits = partner_limits(n[text], pos, threshold) if len(o) else np.empty(0, np.uint8)
+            rank = (o >> np.uint64(56)).astype(np.int64)
+            hot = rank >= hot_class
+            o = _mixed(o)
+            at = o >> np.uint64(32)
             if hot.any():
-                own = flat(b.column(1))[0].view(np.uint64)[::2][text]
-                salt = (((o ^ own) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)) % (often // HOT + 1).astype(np.uint64)
+                own = g.view(np.uint64)[text]
+                salt = (((o ^ own) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)) % salts[rank]
                 at = np.where(hot, at + salt, at)
             s = np.array([shards[0], shards[1]], np.uint64)[sides][text] if len(text) else np.empty(0, np.uint64)
-            cell = text * width + (at % s).astype(np.int64)  # one row a text and shard
-            rank = np.argsort(cell, kind="stable")
-            cell, o, hot = cell[rank], o[rank], hot[rank]
+            shard = (at % s).astype(np.int64) + np.where(sides[text] == 1, shards[0], 0)
+            width = shards[0] + shards[1]
+            home_shard = np.full(len(codes), -1)
+            home_shard[text[home]] = shard[home]
+            kept = np.array(fresh, bool)[text] | home  # of a group met before, one row with the key only
+            only_key = ~np.array(fresh, bool)
+            cell = (text * width + shard)[kept]  # one row a text and shard
+            order = np.argsort(cell, kind="stable")
+            cell, o, hot, limits = cell[order], o[kept][order], hot[kept][order], limits[kept][order]
             starts = np.flatnonzero(np.diff(cell, prepend=-1))
             row_text, row_shard = cell[starts] // width, cell[starts] % width
+            real = ~only_key[cell // width] if len(cell) else np.empty(0, bool)
             cuts = np.append(starts, len(cell))
-            cold_cuts, hot_cuts = (np.concatenate(([0], np.cumsum(m)))[cuts] for m in (~hot, hot))
-            shard = np.where(sides[row_text] == 1, -1 - row_shard, row_shard).astype(np.int32) if len(starts) else np.empty(0, np.int32)
-            cols = [pa.array(shard), b.column(1).take(pa.array(row_text)), pa.array(n[row_text]), binary((o[~hot] & np.uint64(0xFFFFFFFF)).astype(np.uint32), cold_cuts), binary(o[hot], hot_cuts)]
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "k", "n", "tokens", "hot"])
-
-    return texts.select("side", "k", "text").mapInArrow(emit, "shard int, k binary, n int, tokens binary, hot binary")
+            cold, hot = real & ~hot, real & hot
+            cold_cuts, hot_cuts = (np.concatenate(([0], np.cumsum(m)))[cuts] for m in (cold, hot))
+            keyed = row_shard == home_shard[row_text]
+            cols = [
+                pa.array(row_shard.astype(np.int32)),
+                pa.array(g[row_text]),
+                b.column(1).cast(pa.binary()).take(pa.array(row_text, mask=~keyed)),
+                pa.array(n[row_text].astype(np.int32)),
+                binary((o[cold] & np.uint64(0xFFFFFFFF)).astype(np.uint32), cold_cuts),
+                binary(limits[cold], cold_cuts),
+                binary(o[hot], hot_cuts),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "g", "k", "n", "tokens", "limits", "hot"])
+
+    return texts.select("side", "k", "text").mapInArrow(emit, "shard int, g bigint, k binary, n int, tokens binary, limits binary, hot binary")
 
 
 def _chained(tokens: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     """Codes of the neighbours among the owners of each token; both arrays sorted by token, then owner."""
     next_ = np.flatnonzero(tokens[1:] == tokens[:-1])
-    return owner[next_] * size + owner[next_ + 1]
+    codes = owner[next_] * size + owner[next_ + 1]
+    return np.unique(codes[owner[next_] != owner[next_ + 1]])
 
 
-def shard_pairs(n: np.ndarray, entries: np.ndarray, hot: np.ndarray, hot_owner: np.ndarray, shards: int, threshold: float, overlap: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one shard as codes ``i * len(n) + j``, i < j, and the entries set aside.
+def shard_pairs(n: np.ndarray, tokens: np.ndarray, owner: np.ndarray, limits: np.ndarray, hot: np.ndarray, hot_owner: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one shard as codes ``i * len(n) + j``, i < j, with their numbers of shared tokens, and the (token, owner) set aside.
 
-    Owners are numbered in order of size n.  ``entries`` are (token << 32 |
-    owner) and are sorted in place; hot tokens come by owner.  Texts of a token
-    with up to RUN of them are paired out, others chained.
+    Owners are numbered in order of size n, fewer than 2**24.  Tokens of up to
+    RUN owners are paired out, others chained; chained pairs count as certain.
     """
-    overlap = OVERLAP if overlap is None else overlap
+    entries = (tokens.astype(np.uint64) << np.uint64(32)) | (owner.astype(np.uint64) << np.uint64(8)) | limits.astype(np.uint64)
     entries.sort()
-    tokens, owner = (entries >> np.uint64(32)).astype(np.uint32), (entries & np.uint64(0xFFFFFFFF)).astype(np.int32)
+    tokens, owner, limits = (entries >> np.uint64(32)).astype(np.uint32), ((entries >> np.uint64(8)) & np.uint64(_OWNERS - 1)).astype(np.int32), (entries & np.uint64(255)).astype(np.int64)
+    del entries
     size = np.int64(max(1, len(n)))
     again = tokens[1:] == tokens[:-1]  # entry i + 1 has the token of entry i
     starts = np.flatnonzero(np.concatenate(([True], ~again))) if len(tokens) else np.empty(0, np.int64)
     lengths = np.diff(np.append(starts, len(tokens)))
-    aside = np.zeros(len(tokens), bool)
-    for i in np.flatnonzero(lengths > RUN):
-        aside[starts[i] : starts[i] + lengths[i]] = True
+    aside = np.repeat(lengths > RUN, lengths)
     short = lengths[lengths <= RUN]
     blocks = max(1, -(-int((short * (short - 1) // 2).sum()) // PAIRS))
-    del starts, lengths, short
     h = np.argsort(hot, kind="stable")
-    chain = np.concatenate((_chained(tokens[aside], owner[aside].astype(np.int64), size), _chained(hot[h], hot_owner[h], size)))
-    base = np.flatnonzero(again & ~aside[1:]).astype(np.int32) if len(tokens) else np.empty(0, np.int32)
-    del again
-    out: list[np.ndarray] = []
+    chain = np.unique(np.concatenate((_chained(tokens[aside], owner[aside].astype(np.int64), size), _chained(hot[h], hot_owner[h], size))))
+    base = np.flatnonzero(again & ~aside[1:]) if len(tokens) else np.empty(0, np.int64)
+    out, counts = [chain], [np.full(len(chain), _CERTAIN, np.int64)]
     for block in range(blocks):  # the pairs of one text fall into one block
-        held, d = [chain[chain // size % blocks == block]], 1
+        held, d = [], 1
         active = base[owner[base] % blocks == block]
         while len(active):  # pairs of equal tokens at distance d, for growing d
             a, b = owner[active], owner[active + d]
-            fits = (n[a] >= threshold * n[b] - 1e-9) & (a != b)  # n[a] <= n[b]
+            na, nb = n[a], n[b]  # na <= nb
+            near = (nb * 128 <= limits[active] * na) & (na >= threshold * nb - 1e-9)  # beyond it all are too large
+            fits = near & (na * 128 <= limits[active + d] * nb) & (a != b)
             held.append(a[fits] * size + b[fits])
             d += 1
+            active = active[near]
             active = active[active + d < len(tokens)]
             active = active[tokens[active] == tokens[active + d]]
-        codes, counts = np.unique(np.concatenate(held), return_counts=True)
-        i, j = codes // size, codes % size
-        half = np.ceil(np.minimum(overlap, np.ceil(threshold * np.maximum(n[i], n[j]) - 1e-9)) / 2)
-        out.append(codes[(counts >= np.ceil(half / shards)) & (i != j)])
-    return np.concatenate(out), entries[aside]
+        codes, shared = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
+        out.append(codes)
+        counts.append(shared)
+    return np.concatenate(out), np.concatenate(counts), np.concatenate((tokens[aside].astype(np.int64), hot.view(np.int64))), np.concatenate((owner[aside].astype(np.int64), hot_owner))
+
 
+_FOUND = "side int, a bigint, b bigint, n int, shared int, k binary, token bigint"
+_FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
 
-_FOUND = "side int, a binary, b binary, n int, token bigint, hot boolean"
-_FOUND_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.bool_()]
 
+def _collapsed(got: pa.Table) -> pa.Table:
+    """Rows with tokens, one a group; equal ids of unlike content (a hash collision) stay apart."""
+    got = got.filter(pa.array(np.array([len(x) > 0 for x in got.column("tokens").to_pylist()]) | np.array([len(x) > 0 for x in got.column("hot").to_pylist()]), pa.bool_())).combine_chunks() if got.num_rows else got
+    g = got.column("g").to_numpy()
+    order = np.argsort(g, kind="stable")
+    again = np.flatnonzero(np.concatenate(([False], g[order][1:] == g[order][:-1])))
+    drop = set()
+    for i in again.tolist():
+        j = i - 1
+        while j >= 0 and g[order[j]] == g[order[i]] and int(order[i]) not in drop:
+            if int(order[j]) not in drop and all(got.column(c)[int(order[i])] == got.column(c)[int(order[j])] for c in ("n", "tokens", "hot")):
+                drop.add(int(order[i]))
+            j -= 1
+    return got.take(pa.array([i for i in range(got.num_rows) if i not in drop])).combine_chunks() if drop else got
 
-def _candidates(rows: DataFrame, shards: dict[int, int], threshold: float) -> DataFrame:
-    """Candidate pairs ``(side, a, b)`` and entries set aside ``(side, a, n, token, hot)``; a partition's shards are done one after another."""
 
-    def batch(m: int, *cols):
-        full = [pa.nulls(m, t) if c is None else pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(cols, _FOUND_TYPES, strict=True)]
+def _shared(rows: DataFrame, shards: dict[int, int], threshold: float) -> DataFrame:
+    """Of each shard: counts ``(side, a, b, n, shared)``, tokens set aside ``(side, a, n, token)``, members ``(side, a, k)``."""
+
+    def batch(m: int, side: int, **cols):
+        full = [pa.array(np.full(m, side, np.int32)) if f == "side" else pa.nulls(m, t) if f not in cols else cols[f] if isinstance(cols[f], pa.Array) else pa.array(cols[f], t) for f, t in zip([f.split()[0] for f in _FOUND.split(", ")], _FOUND_TYPES, strict=True)]
         return pa.RecordBatch.from_arrays(full, [f.split()[0] for f in _FOUND.split(", ")])
 
     def work(shard: int, held: list[pa.RecordBatch]):
+        side = int(shard >= shards[0])
         got = pa.Table.from_batches(held).combine_chunks()
         held.clear()
+        named = got.filter(pa.array(np.array([x is not None for x in got.column("k").to_pylist()], bool))).combine_chunks()
+        for at in range(0, named.num_rows, 50_000):
+            part = named.slice(at, 50_000).combine_chunks()
+            yield batch(part.num_rows, side, a=part.column("g").chunk(0), k=part.column("k").chunk(0).cast(pa.binary()))
+        del named
+        got = _collapsed(got.drop_columns(["k", "shard"]))
+        if not got.num_rows:
+            return
         got = got.take(pa.array(np.argsort(got.column("n").to_numpy(), kind="stable"))).combine_chunks()
-        keys, n = got.column("k").chunk(0).cast(pa.binary()), got.column("n").to_numpy().astype(np.int64)
-        (tokens, t_len), (hot, h_len) = (flat(got.column(c).chunk(0)) for c in ("tokens", "hot"))
+        g, n = got.column("g").to_numpy(), got.column("n").to_numpy().astype(np.int64)
+        (tokens, t_len), (limits, _), (hot, h_len) = (flat(got.column(c).chunk(0)) for c in ("tokens", "limits", "hot"))
         del got
-        side, owners = int(shard < 0), np.arange(len(n), dtype=np.uint64)
-        entries = (tokens.view(np.uint32).astype(np.uint64) << np.uint64(32)) | np.repeat(owners, t_len // 4)
-        hot, hot_owner = hot.view(np.uint64), np.repeat(owners, h_len // 8).astype(np.int64)
-        del tokens
-        codes, aside = shard_pairs(n, entries, hot, hot_owner, shards[side], threshold)
-        del entries
-        halves = flat(keys)[0].view(">u8").reshape(-1, 2)
-        for at in range(0, len(codes), 50_000):
-            a, b = codes[at : at + 50_000] // len(n), codes[at : at + 50_000] % len(n)
-            swap = (halves[a, 0] > halves[b, 0]) | ((halves[a, 0] == halves[b, 0]) & (halves[a, 1] > halves[b, 1]))
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield batch(len(a), np.full(len(a), side, np.int32), keys.take(pa.array(a)), keys.take(pa.array(b)), None, None, None)
-        named = (np.int64(shard) << np.int64(32)) | (aside >> np.uint64(32)).astype(np.int64)
-        for own, ids, is_hot in (((aside & np.uint64(0xFFFFFFFF)).astype(np.int64), named, False), (hot_owner, hot.view(np.int64), True)):
-            for at in range(0, len(own), 50_000):
-                o = own[at : at + 50_000]
-                yield batch(len(o), np.full(len(o), side, np.int32), keys.take(pa.array(o)), None, n[o].astype(np.int32), ids[at : at + 50_000], np.full(len(o), is_hot))
+        owner, hot_owner = np.repeat(np.arange(len(n)), t_len // 4), np.repeat(np.arange(len(n)), h_len // 8)
+        tokens, hot = tokens.view(np.uint32), hot.view(np.uint64)
+        splits = -(-len(n) // _OWNERS)
+        for i in range(splits):
+            mine = slice(None) if splits == 1 else np.flatnonzero(tokens % splits == i)
+            own, back = (owner, np.arange(len(n))) if splits == 1 else tuple(reversed(np.unique(owner[mine], return_inverse=True)))
+            last = i + 1 == splits and splits == 1
+            codes, shared, token, who = shard_pairs(n[back], tokens[mine], own, limits[mine], hot if last else hot[:0], hot_owner if last else hot_owner[:0], threshold)
+            size = max(1, len(back))
+            for at in range(0, len(codes), 50_000):
+                a, b = back[codes[at : at + 50_000] // size], back[codes[at : at + 50_000] % size]
+                ga, gb = g[a], g[b]
+                yield batch(len(a), side, a=np.minimum(ga, gb), b=np.maximum(ga, gb), n=n[a].astype(np.int32), shared=shared[at : at + 50_000].astype(np.int32))
+            if len(token):
+                token = np.where(np.arange(len(token)) < len(token) - (len(hot) if last else 0), token | np.int64(shard) << np.int64(32), token)
+            for at in range(0, len(token), 50_000):
+                w = back[who[at : at + 50_000]]
+                yield batch(len(w), side, a=g[w], n=n[w].astype(np.int32), token=token[at : at + 50_000])
 
     def run(batches):
         shard, held = None, []
@@ -306,28 +416,12 @@ def _candidates(rows: DataFrame, shards: dict[int, int], threshold: float) -> Da
         if held:
             yield from work(shard, held)
 
-    placed = rows.repartition(max(1, sum(shards.values())), "shard").sortWithinPartitions("shard")
-    return placed.mapInArrow(run, _FOUND)
-
+    return rows.repartitionById(shards[0] + shards[1], F.col("shard")).mapInArrow(run, _FOUND)
 
-def _set_aside_pairs(aside: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """``(side, a, b)``: candidates among the texts of the tokens set aside whose records aren't in one group yet.
 
-    ``labels(side, k, label)`` is a text's group, null if its records lie in
-    several.  Tokens whose texts are all of one group drop out in an aggregation;
-    the rest is an equi-join on the token, which AQE splits where it is skewed.
-    """
-    entries = aside.join(labels.withColumnRenamed("k", "a"), ["side", "a"])
-    by = ["side", "hot", "token"]
-    mixed = entries.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(F.isnull("label")).alias("several"))
-    alive = entries.join(mixed.where("several > 0 or lo <> hi").select(*by), by)
-    left = alive.select(*by, "a", F.col("n").alias("na"), F.col("label").alias("la"))
-    right = alive.select(*by, F.col("a").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    apart = F.isnull("la") | F.isnull("lb") | (F.col("la") != F.col("lb"))
-    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    shared = left.join(right, by).where((F.col("a") < F.col("b")) & apart & fits).groupBy("side", "a", "b").agg(F.count("*").alias("shared"), F.max(F.greatest("na", "nb")).alias("larger"))
-    half = F.ceil(F.least(F.lit(OVERLAP), F.ceil(F.col("larger") * threshold - 1e-9)) / 2)
-    return shared.where(F.col("shared") >= half).select("side", "a", "b")
+def _need(n, of: float = 2.0):
+    """Tokens that a pair with the smaller size n must share among those not set aside."""
+    return F.ceil(F.greatest(F.lit(1), F.least(F.lit(OVERLAP), F.floor(n / 16))) / of)
 
 
 def likeness(a: bytes, b: bytes) -> tuple[int, int]:
@@ -349,14 +443,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "side int, a binary, b binary")
 
 
-def candidates(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Candidate pairs and tokens set aside over ``texts(side, k, text)``."""
+def shard_counts(load: dict[int, float], cores: int) -> dict[int, int]:
+    """Token shards of each side; neither candidates nor results depend on their number."""
+    return {side: max(math.ceil(load.get(side, 0) / SHARD_TOKENS), min(cores // 2 or 1, math.ceil(load.get(side, 0) / 500_000)), 1) for side in (0, 1)}
+
+
+def shared_counts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Counts of group pairs, tokens set aside and members of groups over ``texts(side, k, text)``; see ``_shared``."""
     spark = texts.sparkSession
-    freq = frequencies(texts)
-    load = {r.side: r.tokens for r in texts.groupBy("side").agg(F.sum(F.length("text") * (1 - threshold) + OVERLAP).alias("tokens")).collect()}
-    wide = spark.sparkContext.defaultParallelism
-    shards = {side: max(math.ceil(load.get(side, 0) / SHARD_TOKENS), min(wide // 2 or 1, math.ceil(load.get(side, 0) / 500_000)), 1) for side in (0, 1)}
-    return stash(_candidates(_prefix_rows(texts, spark.sparkContext.broadcast(freq), shards, threshold), shards, threshold), "candidates")
+    chars = {r.side: r.chars for r in texts.groupBy("side").agg(F.sum(F.length("text")).alias("chars")).collect()}
+    bits = min(SLOT_BITS[1], max(SLOT_BITS[0], math.ceil(math.log2(sum(chars.values()) / 16 + 1))))
+    shards = shard_counts({side: n * (1 - threshold) for side, n in chars.items()}, spark.sparkContext.defaultParallelism)
+    classes = spark.sparkContext.broadcast(frequency_classes(texts, bits))
+    return stash(_shared(_prefix_rows(texts, classes, shards, threshold), shards, threshold), "shared")
+
+
+def group_pairs(found: DataFrame) -> DataFrame:
+    """``(side, a, b)``: pairs of groups whose counts, summed over all shards, reach what they need."""
+    total = found.where("b is not null").groupBy("side", "a", "b").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
+    return total.where(F.col("shared") >= _need(F.col("n"))).select("side", "a", "b")
+
+
+def member_pairs(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Text pairs ``(side, a, b)`` of group pairs and groups, and the group pairs that are only covered by their least members."""
+    sized = stash(members.groupBy("side", "g").agg(F.count("*").alias("m"), F.min("k").alias("rep")), "groups")
+    end = lambda c: sized.select("side", F.col("g").alias(c), F.col("m").alias(f"m{c}"), F.col("rep").alias(f"r{c}"))
+    own = sized.where("m > 1").select("side", F.col("g").alias("a"), F.col("g").alias("b"))
+    both = stash(pairs.where("a <> b").unionByName(own).join(end("a"), ["side", "a"]).join(end("b"), ["side", "b"]), "group-pairs")
+    single = both.where("ma = 1 and mb = 1").select("side", F.col("ra").alias("a"), F.col("rb").alias("b"))
+    member = lambda c: members.select("side", F.col("g").alias(c), F.col("k").alias(f"k{c}"))
+    few = both.where(f"ma * mb between 2 and {MEMBERS}").join(member("a"), ["side", "a"]).join(member("b"), ["side", "b"]).select("side", F.col("ka").alias("a"), F.col("kb").alias("b"))
+    large = both.where(f"ma * mb > {MEMBERS}")
+    star = large.where("a = b").join(member("a"), ["side", "a"]).select("side", F.col("ra").alias("a"), F.col("ka").alias("b"))
+    reps = large.where("a <> b").select("side", F.col("ra").alias("a"), F.col("rb").alias("b"))
+    out = single.unionByName(few).unionByName(star).unionByName(reps).where("a <> b")
+    return out.select("side", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), large.select("side", "a", "b")
+
+
+_APART = "la is null or lb is null or la <> lb"
+
+
+def _set_aside_pairs(aside: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """``(side, a, b)``: group pairs that share enough tokens set aside, and whose records aren't in one group yet.
+
+    ``labels(side, g, label)`` is a group's class of records, null if they lie in
+    several.  Tokens whose groups are all of one class drop out in an aggregation.
+    A pair must share ``c`` of the others, so it shares one of the first ``h - c + 1``
+    of each end's h tokens, rare ones first; groups with fewer than c drop out.  The
+    rest is an equi-join on the token, which AQE splits where it is skewed.
+    """
+    entries = aside.distinct().join(labels, ["side", "g"])
+    by = ["side", "token"]
+    mixed = entries.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count_if(F.isnull("label")).alias("several"), F.count("*").alias("often"))
+    alive = entries.join(mixed.where("often > 1 and (several > 0 or lo <> hi)").select(*by, "often"), by)
+    lists = alive.groupBy("side", "g", "n", "label").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ts"))  # a text's prefix at most
+    least = _need(F.col("n") * F.lit(threshold) - 1, 2.0)  # of the smallest partner; the first pass asks for half, rounded up
+    least = F.greatest(F.lit(1), least)
+    first = lists.where(F.size("ts") >= least).select("side", "g", "n", "label", F.explode(F.slice("ts", F.lit(1), (F.size("ts") - least + 1).cast("int"))).alias("t"))
+    held = stash(first.select("side", "t.token", "g", "n", "label"), "set-aside")
+    left = held.select(*by, F.col("g").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = held.select(*by, F.col("g").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    return left.join(right, by).where((F.col("a") < F.col("b")) & F.expr(_APART) & fits).select("side", "a", "b").distinct()
 
 
 def _expand(units: DataFrame, links: DataFrame) -> DataFrame:
@@ -382,20 +530,30 @@ def near_duplicates(records: DataFrame, threshold: float = THRESHOLD) -> DataFra
     source = records.select("record_id", "human_src", "llm_src")
     keys = stash(record_keys(source), "keys")
     texts = stash(_texts(source), "texts")
-    found = candidates(texts, threshold)
-    links = stash(_verified(found.where("b is not null").select("side", "a", "b").distinct(), texts, threshold), "links")
+    found = shared_counts(texts, threshold)
+    members = found.where("k is not null").select("side", F.col("a").alias("g"), "k")
+    close = stash(group_pairs(found), "close")
+    pairs, large = member_pairs(close, members)
+    links = stash(_verified(pairs, texts, threshold), "links")
     long = texts.select("side", "k")
     units = keys.distinct().groupBy("hk", "lk").agg(F.min("record_id").alias("rep"), F.count("*").alias("copies"))
     for side, c in ((0, "hk"), (1, "lk")):
         units = units.join(long.where(F.col("side") == side).select(F.col("k").alias(c)), c, "left_semi")
     units = stash(units, "units")
     roots = stash(contract(_expand(units, links)), "roots")
-    aside = found.where("token is not null").select("side", "a", "n", "token", "hot")
-    if aside.limit(1).count():
+    aside = found.where("token is not null").select("side", F.col("a").alias("g"), "n", "token")
+    if aside.limit(1).count() or large.limit(1).count():
         rooted = units.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("hk", "lk", F.coalesce("root", "rep").alias("root"))
-        ends = rooted.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hk").alias("k"), "root"), F.struct(F.lit(1).alias("side"), F.col("lk").alias("k"), "root"))).alias("e"))
-        labels = ends.select("e.*").groupBy("side", "k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).select("side", "k", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
-        more = _set_aside_pairs(aside, labels, threshold).join(links, ["side", "a", "b"], "left_anti")
+        ends = rooted.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("hk").alias("k"), "root"), F.struct(F.lit(1).alias("side"), F.col("lk").alias("k"), "root"))).alias("e")).select("e.*")
+        one = F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label")
+        bounds = [F.min("root").alias("lo"), F.max("root").alias("hi")]
+        by_text = stash(members.join(ends, ["side", "k"]), "labels")
+        labels = by_text.groupBy("side", "g").agg(*bounds).select("side", "g", one)
+        text_labels = by_text.groupBy("side", "g", "k").agg(*bounds).select("side", "g", "k", one)
+        wide = _set_aside_pairs(aside, labels, threshold).unionByName(large).distinct()
+        end = lambda c: text_labels.select("side", F.col("g").alias(c), F.col("k").alias(f"k{c}"), F.col("label").alias(f"l{c}"))
+        more = wide.join(end("a"), ["side", "a"]).join(end("b"), ["side", "b"]).where(f"ka <> kb and ({_APART})")
+        more = more.select("side", F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(links, ["side", "a", "b"], "left_anti")
         links = links.unionByName(stash(_verified(more, texts, threshold), "links"))
         roots = stash(contract(_expand(units, links)), "roots")
     placed = units.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
