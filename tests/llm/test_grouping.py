@@ -68,16 +68,33 @@ def test_shared_key_edges_link_a_hot_key_with_few_edges(spark):
     assert groups.count() == 3000 and groups.select("group_id").distinct().collect()[0][0] == 0
 
 
-def test_shared_spans_against_brute_force(spark):
+def brute_spans(docs, m):
+    seen = {tuple(t[k : k + j]) for _, s, t in docs if s and t for k in range(len(t)) for j in range(1, len(t) - k + 1) if None not in t[k : k + j]}
+    longest = lambda t, k: max((j for j in range(len(t) - k + 1) if tuple(t[k : k + j]) in seen), default=0)
+    return {(i, k, n) for i, s, t in docs if s is False and t for k in range(len(t)) if (n := longest(t, k)) >= m}
+
+
+@pytest.mark.parametrize("width", [1, 4, 40])
+def test_shared_spans_against_brute_force(spark, monkeypatch, width):
+    """Spans of unequal lengths, with the nearest reference suffix in the same or in another partition."""
+    monkeypatch.setattr(cross_split, "shuffle_width", lambda _: width)
     rnd = random.Random(3)
     docs = [(i, rnd.random() < 0.5, [rnd.choice("abc") for _ in range(rnd.randrange(0, 12))]) for i in range(40)] + [(90, None, ["a"] * 9), (91, False, None), (92, False, ["a", None, "a", "b"])]
+    docs += [(100, True, [f"t{k}" for k in range(30)]), (101, False, [f"t{k}" for k in range(3, 29)] + ["u"]), (102, False, ["v", *[f"t{k}" for k in range(7)], "t9", "t10"])]
+    df = spark.createDataFrame(docs, "id int, seen boolean, tokens array<string>")
     for m in (1, 4):
-        seen = {tuple(t[k : k + m]) for _, s, t in docs if s and t for k in range(len(t) - m + 1)}
-        want = {(i, k) for i, s, t in docs if s is False and t for k in range(len(t) - m + 1) if tuple(t[k : k + m]) in seen and None not in t[k : k + m]}
-        df = spark.createDataFrame(docs, "id int, seen boolean, tokens array<string>")
+        want = brute_spans(docs, m)
         assert {tuple(r) for r in cross_split.shared_spans(df, m).collect()} == want
-        covered = {r.id: r.covered_tokens for r in cross_split.coverage(df, m).collect()}
-        assert covered == {i: len({k + j for d, k in want if d == i for j in range(m)}) for i in {d for d, _ in want}}
+        got = {r.id: (r.covered_tokens, r.n_spans) for r in cross_split.coverage(df, m).collect()}
+        covered = {i: sorted({k + j for d, k, n in want if d == i for j in range(n)}) for i in {d for d, _, _ in want}}
+        assert {i: c for i, (c, _) in got.items()} == {i: len(c) for i, c in covered.items()}
+        assert all(n <= 1 + sum(y - x > 1 for x, y in zip(covered[i], covered[i][1:], strict=False)) + len(covered[i]) for i, (_, n) in got.items())
+
+
+def test_shared_spans_beyond_the_written_length(spark, monkeypatch):
+    monkeypatch.setattr(cross_split, "LONGEST", 4)
+    df = spark.createDataFrame([(1, True, [f"t{k}" for k in range(20)]), (2, False, ["x", *[f"t{k}" for k in range(2, 18)], "y"])], "id int, seen boolean, tokens array<string>")
+    assert [tuple(r) for r in cross_split.coverage(df, 2).collect()] == [(2, 1, 16, 18)]
 
 
 def test_leaked_pairs(spark):
