@@ -59,7 +59,7 @@ def test_complexity_of_little(code, language, value):
 
 
 def test_formatted_string_is_one_literal():
-    assert [x.kind for x in lexical.lexemes('y = f"{x!r} {1}"', "py")] == ["identifier", "operator", "literal"]
+    assert lexical.lexemes('y = f"{x!r} {1}"', "py").kinds == ["identifier", "operator", "literal"]
 
 
 def test_bad_arguments():

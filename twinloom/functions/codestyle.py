@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+# Names of the measurements.
 NAMES = (
     "function_naming_consistency",
     "variable_naming_consistency",
