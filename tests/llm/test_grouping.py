@@ -167,10 +167,13 @@ def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "record_id bigint, human_src string, llm_src string")).collect() == []
 
 
-def test_components_against_closure(spark):
+@pytest.mark.parametrize(("seeds", "hops"), [(64, 4), (3, 1), (1, 2), (10**9, 0)])
+def test_components_against_closure(spark, seeds, hops):
     rnd = random.Random(6)
-    edges = [(f"n{rnd.randrange(80):03}", f"n{rnd.randrange(80):03}") for _ in range(60)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(40)]
-    got = {r.node: r.root for r in split_assign.components(spark.createDataFrame(edges, "a string, b string"), (8, 2, 1)).collect()}
+    edges = [(f"n{rnd.randrange(80):03}", f"n{rnd.randrange(80):03}") for _ in range(60)] + [(f"p{i:03}", f"p{i + 1:03}") for i in range(40)] + [("lone", "lone"), ("half", None), (None, None)]
+    edges += [("hub", f"s{i:02}") for i in range(30)]
+    got = {r.node: r.root for r in split_assign.components(spark.createDataFrame(edges, "a string, b string"), seeds, hops).collect()}
+    edges = [(a, b or a) for a, b in edges if a]
     want = closure({x for e in edges for x in e}, edges)
     assert {frozenset(n for n in got if got[n] == g) for g in set(got.values())} == {frozenset(n for n in want if want[n] == g) for g in set(want.values())}
 

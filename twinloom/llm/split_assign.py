@@ -1,11 +1,15 @@
 """Splits that keep related records together: frontier components, then hash order.
 
-Components: edges are held as hash-partitioned adjacency lists.  In waves, a
-share of the unlabelled vertices (drawn by hash) become seeds, and the frontier
-of all seeds is expanded at once, one hop a round.  Where two labels meet, the
-pair goes into a small graph of labels; the first label stays.  When the last
-wave (every vertex left is a seed) is done, the graph of labels is contracted
-and each vertex takes the label of its component.
+Components: edges are held as hash-partitioned adjacency lists.  The first wave's
+seeds are a share of the vertices drawn by hash, so that many searches run through
+a large component at once; the second wave's are the vertices left whose hash is
+least among their neighbours left, at least one in every component without a
+seed.  The frontier of all seeds is expanded at once, ``HOPS`` hops a wave, each
+joining the frontier's neighbours alone; a frontier's neighbours that are labelled
+lie in it or in the one before.  What is further off becomes its own seed.  Then
+every edge whose ends got two labels goes into a small graph of labels, which is
+contracted, and each vertex takes the label of its component.  So the number of
+rounds doesn't depend on the graph's diameter.
 
 Split: components that hold at least one row in ``LARGE`` are at most that
 many; they are placed first, largest first, where the shortfall against the
@@ -17,55 +21,55 @@ fills what each split still lacks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinloom.llm.contraction import contract
-from twinloom.runtime import discard, stash
+from twinloom.runtime import stash
 from twinloom.sources.tables import table
 
-#: Share of the unlabelled vertices that become seeds, one in so many, by wave.
-WAVES = (64, 8, 1)
+#: One vertex in so many is a seed of the first wave.
+SEEDS = 64
+HOPS = 4
 LARGE = 2_000
 _BUCKETS = 4_096
 
 
-def components(edges: DataFrame, waves: tuple[int, ...] = WAVES) -> DataFrame:
+def _expand(seeds: DataFrame, adjacency: DataFrame, hops: int) -> list[DataFrame]:
+    """Frontiers ``(node, label)`` of all seeds, the seeds first; ``adjacency(a, b)`` holds unlabelled vertices only."""
+    found = [stash(seeds.select("node", F.col("node").alias("label")), "frontier")]
+    for _ in range(hops):
+        reached = found[-1].join(adjacency, found[-1]["node"] == adjacency["a"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
+        for f in found[-2:]:
+            reached = reached.join(f.select("node"), "node", "left_anti")
+        found.append(stash(reached, "frontier"))
+        if not found[-1].limit(1).count():
+            break
+    return found
+
+
+def components(edges: DataFrame, seeds: int = SEEDS, hops: int = HOPS) -> DataFrame:
     """``(node, root)`` for every vertex of ``edges(a, b)``, loops included; null ends are vertices of none."""
     ends = edges.select("a", "b").where("a is not null or b is not null").select(F.coalesce("a", "b").alias("a"), F.coalesce("b", "a").alias("b")).distinct()
-    adjacency = stash(ends.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct().repartition("a"), "adjacency")
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    adjacency = stash(ends.select(both).select("e.a", "e.b").distinct().repartition("a"), "adjacency")
     nodes = adjacency.select(F.col("a").alias("node")).distinct()
-    labelled: DataFrame | None = None
-    meets: list[DataFrame] = []
-    spent: list[DataFrame] = []
-    for wave, rate in enumerate(waves):
-        left = nodes if labelled is None else nodes.join(labelled, "node", "left_anti")
-        seeds = left.where(F.pmod(F.xxhash64(F.lit(wave), "node"), F.lit(rate)) == 0)
-        frontier = stash(seeds.select("node", F.col("node").alias("label")), "frontier")
-        spent.append(frontier)
-        labelled = frontier if labelled is None else labelled.unionByName(frontier)
-        while frontier.limit(1).count():
-            arrivals = frontier.join(adjacency, frontier["node"] == adjacency["a"]).select(F.col("b").alias("node"), "label").distinct()
-            arrivals = stash(arrivals, "arrivals")
-            known = labelled.select("node", F.col("label").alias("old"))
-            first = arrivals.groupBy("node").agg(F.min("label").alias("least")).join(known, "node", "left")
-            first = stash(first.select("node", F.coalesce("old", "least").alias("label"), F.col("old").isNull().alias("is_new")), "first")
-            meeting = arrivals.withColumnRenamed("label", "other").join(first.select("node", "label"), "node").where("other <> label")
-            meets.append(stash(meeting.select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b")).distinct(), "meets"))
-            frontier = stash(first.where("is_new").select("node", "label"), "frontier")
-            labelled = labelled.unionByName(frontier)
-            spent.append(frontier)
-            discard(arrivals, first)
-        if wave + 1 < len(waves):
-            whole = stash(labelled, "labelled")
-            discard(*spent)
-            labelled, spent = whole, [whole]
-    if labelled is None:
-        raise ValueError("at least one wave is needed")
-    small = labelled.select(F.col("node").alias("a"), F.col("label").alias("b")).limit(0)
-    for m in meets:
-        small = small.unionByName(m)
-    roots = stash(contract(small), "labels").withColumnRenamed("node", "label")
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    first = union(_expand(nodes.where(F.pmod(F.xxhash64(F.lit(0), "node"), F.lit(seeds)) == 0), adjacency, hops))
+    known = first.select(F.col("node").alias("a"))
+    left = adjacency.join(known, "a", "left_anti").join(known.withColumnRenamed("a", "b"), "b", "left_anti")
+    left = stash(left.select("a", "b"), "left")
+    rank = lambda c: F.struct(F.xxhash64(F.lit(1), c), F.col(c))
+    least = left.groupBy("a").agg(F.min(rank("b")).alias("m")).where(rank("a") <= F.col("m")).select(F.col("a").alias("node"))
+    second = union(_expand(least, left, hops))
+    near = first.unionByName(second)
+    far = nodes.join(near.select("node"), "node", "left_anti").select("node", F.col("node").alias("label"))
+    labelled = stash(near.unionByName(far), "labelled")
+    end = lambda c, name: labelled.select(F.col("node").alias(c), F.col("label").alias(name))
+    meets = adjacency.where("a < b").join(end("a", "x"), "a").join(end("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = stash(contract(meets), "labels").withColumnRenamed("node", "label")
     return labelled.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
