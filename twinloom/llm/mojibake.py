@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -87,6 +88,7 @@ def decode(raw: bytes, encoding: str) -> str:
     return "".join([chr(back[b]) for b in raw])
 
 
+_STORED = re.compile(r"[^ \n\t\r]+")  # words as suspects() cuts them
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -167,17 +169,25 @@ def _slot(order: int, gram: str) -> int:
     return order * _SLOTS + zlib.crc32(gram.encode("utf-8", "surrogatepass")) % _SLOTS
 
 
+def counts_array(items: Iterable[tuple[int, int]]) -> array:
+    """Counts by slot, and their total at the end: 8 * (3 * 2**20 + 1) bytes whatever the corpus."""
+    out = array("q", bytes(8 * (3 * _SLOTS + 1)))
+    for slot, n in items:
+        out[slot] = n  # slot -1 is the last
+    return out
+
+
 class Model:
     """Smoothed character trigram model over hashed counts (interpolated with bigrams and unigrams)."""
 
-    def __init__(self, counts: dict[int, int], weight: float = 4.0):
-        self.counts, self.weight = counts, weight
-        self.total = counts.get(-1, 0)
+    def __init__(self, counts: dict[int, int] | array, weight: float = 4.0):
+        self.counts, self.weight = counts if isinstance(counts, array) else counts_array(counts.items()), weight
+        self.total = self.counts[-1]
         self.known: dict[str, float] = {}
 
     def count(self, gram: str) -> int:
         """At most the counts of the gram's parts, so that a gram with an unseen character has none from a shared slot."""
-        n = self.counts.get(_slot(len(gram) - 1, gram), 0)
+        n = self.counts[_slot(len(gram) - 1, gram)]
         return min(n, self.count(gram[1:]), self.count(gram[:-1])) if n and len(gram) > 1 else n
 
     def _log(self, gram: str) -> float:
@@ -280,8 +290,8 @@ def word_counts(lists: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count_if(kept).alias("n_train"), F.count_if(held).alias("n_held"))
 
 
-def train(words: DataFrame) -> dict[int, int]:
-    """Hashed n-gram counts over all of ``words(word, n_train)``; at most 3 * 2**20 numbers."""
+def train(words: DataFrame) -> array:
+    """Hashed n-gram counts over all of ``words(word, n_train)``; 3 * 2**20 numbers and their total."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,10 +299,10 @@ def train(words: DataFrame) -> dict[int, int]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32()), pa.array(list(c.values()), pa.int64())], ["slot", "n"])
 
     rows = words.where("n_train > 0").select("word", "n_train").mapInArrow(run, "slot int, n bigint")
-    return {r.slot: r.n for r in rows.groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator()}
+    return counts_array((r.slot, r.n) for r in rows.groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator())
 
 
-def gains(words: DataFrame, counts: dict[int, int]) -> DataFrame:
+def gains(words: DataFrame, counts: array) -> DataFrame:
     """Adds the ``gain`` and the ``reading`` of the likeliest other reading to ``words(word, n_train, n_held)``."""
     shared = words.sparkSession.sparkContext.broadcast(counts)
 
@@ -309,7 +319,7 @@ def _bin(gain: float) -> int:
     return int(max(-1.0, min(100.0, gain)) // _BIN)
 
 
-def _gain_bins(scored: DataFrame, counts: dict[int, int]) -> dict[tuple[bool, int], int]:
+def _gain_bins(scored: DataFrame, counts: array) -> dict[tuple[bool, int], int]:
     """Histogram of gains over held-out clean words, as stored and garbled on purpose."""
     shared = scored.sparkSession.sparkContext.broadcast(counts)
 
@@ -371,14 +381,8 @@ def repair(docs: DataFrame) -> DataFrame:
             rows = []
             for d, t, pairs in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 fix = dict(pairs)
-                out, word = [], ""
-                for c in t + " ":
-                    if c in " \n\t\r":
-                        out.append((fix.get(word) or word) + c)
-                        word = ""
-                    else:
-                        word += c
-                rows.append((d, "".join(out)[:-1], len(fix), sum(v is None for v in fix.values())))
+                restored = _STORED.sub(lambda m, fix=fix: fix.get(m.group()) or m.group(), t)
+                rows.append((d, restored, len(fix), sum(v is None for v in fix.values())))
             d, t, n, m = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(d, b.column(0).type), pa.array(t, pa.string()), pa.array(n, pa.int64()), pa.array(m, pa.int64())], ["doc_id", "restored", "n_garbled", "n_lost"])
 
