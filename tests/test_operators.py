@@ -73,7 +73,7 @@ def _placed(spark, roots):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_negatives(spark, seed, monkeypatch):
-    monkeypatch.setattr(pairing, "OFFSETS_A_ROUND", 4)
+    monkeypatch.setattr(pairing, "FIRST_WINDOW", 4)
     rnd = random.Random(seed)
     roots = [f"r{rnd.randrange(40)}" for _ in range(70)]
     placed = _placed(spark, roots)
@@ -81,7 +81,7 @@ def test_negatives(spark, seed, monkeypatch):
     n = len(order)
     want = next((d for d in range(1, n) if all(order[i] != order[(i + d) % n] for i in range(n))), None)
     got = pairing.derangement_offsets(placed).collect()
-    assert [r.offset for r in got] == ([want] if want else [])
+    assert [r.offset for r in got] == [want]
     root = {f"o{i:03}": r for i, r in enumerate(roots)}
     for negatives in (pairing.current_negatives(placed), pairing.random_negatives(placed, 2)):
         rows = negatives.collect()
@@ -91,7 +91,9 @@ def test_negatives(spark, seed, monkeypatch):
 
 def test_no_derangement_within_one_component(spark):
     placed = _placed(spark, ["r"] * 6)
-    assert pairing.derangement_offsets(placed).count() == 0 and pairing.random_negatives(placed).count() == 0
+    assert [r.offset for r in pairing.derangement_offsets(placed).collect()] == [None] and pairing.random_negatives(placed).count() == 0
+    with pytest.raises(ValueError, match="no complete derangement"):
+        pairing.complete_negatives(placed)
 
 
 def test_nearest_other(spark, monkeypatch):

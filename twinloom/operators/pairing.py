@@ -13,7 +13,7 @@ from twinloom.operators.ranking import hash_positions
 from twinloom.runtime import stash
 
 GROUP = ["language", "seed", "fold", "side", "generator"]
-OFFSETS_A_ROUND = 64
+FIRST_WINDOW = 64
 _BLOCK = 1024
 
 
@@ -37,20 +37,18 @@ def positions(members: DataFrame) -> DataFrame:
 
 
 def derangement_offsets(placed: DataFrame) -> DataFrame:
-    """Smallest cyclic offset at which no position meets one of its own component, by group; groups without one don't come out.
+    """Smallest cyclic offset at which no position meets one of its own component, by group; null where there is none.
 
     An offset is bad if two positions of a component lie that far apart.  Bad
-    offsets are sought in windows of OFFSETS_A_ROUND: positions are cut into
-    buckets of that width and a component's positions are compared with those
-    of the bucket a window away and the next, so a large component costs at
-    most n times the window a round, not the square of its size.
+    offsets are sought in windows that widen eightfold a round, so that the rounds
+    grow with the logarithm of a group's size: positions are cut into buckets of
+    that width and a component's positions are compared with those of the bucket
+    a window away and the next.
     """
     groups = stash(placed.groupBy(*GROUP).agg(F.max("n").alias("n")), "groups")
-    width = OFFSETS_A_ROUND
     base = stash(placed.select(*GROUP, "root", "pos", "n"), "positions")
-    spark = placed.sparkSession
     found: list[DataFrame] = []
-    left, low = groups, 1
+    left, low, width = groups.where("n > 1"), 1, FIRST_WINDOW
     while left.limit(1).count():
         # distance d from pos to pos + d (mod n): unroll the ring once
         here = base.join(left.select(*GROUP), GROUP, "left_semi")
@@ -59,25 +57,34 @@ def derangement_offsets(placed: DataFrame) -> DataFrame:
         start = here.select(*GROUP, "root", "pos", "n", F.explode(F.array(first, first + 1)).alias("bucket"))
         apart = start.join(ring, [*GROUP, "root", "bucket"]).withColumn("d", F.col("to") - F.col("pos"))
         bad = apart.where((F.col("d") >= low) & (F.col("d") < low + width) & (F.col("d") < F.col("n"))).select(*GROUP, "d").distinct()
-        tried = left.select(*GROUP, "n").join(F.broadcast(spark.range(low, low + width).select(F.col("id").alias("d")))).where("d < n")
+        tried = left.select(*GROUP, F.explode(F.sequence(F.lit(low).cast("bigint"), F.least(F.lit(low + width), F.col("n")) - 1)).alias("d"))
         good = stash(tried.join(bad, [*GROUP, "d"], "left_anti").groupBy(*GROUP).agg(F.min("d").alias("offset")), "offsets")
         found.append(good)
         low += width
+        width *= 8
         left = stash(left.join(good, GROUP, "left_anti").where(F.col("n") > low), "left")
     out = groups.select(*GROUP, F.lit(None).cast("bigint").alias("offset")).limit(0)
     for f in found:
         out = out.unionByName(f)
-    return out
+    return groups.select(*GROUP).join(out, GROUP, "left")
 
 
 def current_negatives(placed: DataFrame) -> DataFrame:
-    """``(GROUP, human_origin, candidate_origin)``: the cyclic derangement by each group's offset."""
-    offsets = derangement_offsets(placed)
-    human = placed.join(F.broadcast(offsets), GROUP).select(*GROUP, F.col("origin").alias("human_origin"), F.pmod(F.col("pos") + F.col("offset"), F.col("n")).alias("pos"))
+    """``(GROUP, human_origin, candidate_origin)``: the cyclic derangement by each group's offset; groups without one have none, see derangement_offsets."""
+    offsets = derangement_offsets(placed).where("offset is not null")
+    human = placed.join(offsets, GROUP).select(*GROUP, F.col("origin").alias("human_origin"), F.pmod(F.col("pos") + F.col("offset"), F.col("n")).alias("pos"))
     candidate = placed.select(*GROUP, "pos", F.col("origin").alias("candidate_origin"))
     return human.join(candidate, [*GROUP, "pos"]).drop("pos")
 
 
+def complete_negatives(placed: DataFrame) -> DataFrame:
+    """current_negatives, or an error that names groups in which no cyclic derangement keeps components apart."""
+    lacking = derangement_offsets(placed).where("offset is null").limit(3).collect()  # for the message
+    if lacking:
+        raise ValueError("no complete derangement: " + "; ".join(str(tuple(r)[:-1]) for r in lacking))
+    return current_negatives(placed)
+
+
 def random_negatives(placed: DataFrame, tries: int = 8) -> DataFrame:
     """``(GROUP, human_origin, candidate_origin)``: a digest of the human origin picks a place in the hash order, the next
     origin of another component from there on is taken.

@@ -137,7 +137,7 @@ def hash_order_positions(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...
 
 
 def derangement_offset(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    return pairing.derangement_offsets(placed_sides(spark, sf_dir, seeds)).select("language", *_seed(seeds), F.col("fold").cast("bigint").alias("fold"), "side", "generator", "offset")
+    return pairing.derangement_offsets(placed_sides(spark, sf_dir, seeds)).select("language", *_seed(seeds), F.col("fold").cast("bigint").alias("fold"), "side", "generator", "offset", F.when(F.col("offset").isNull(), "no derangement").otherwise("ok").alias("status"))
 
 
 def negatives_current(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
@@ -175,7 +175,7 @@ def pairs_leave_one_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_audit(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """Per language, fold and generator: pairs, origins and digests on both sides, negatives within a component, repeated pairs. All leakage counts must be 0."""
+    """Per language, fold and generator: pairs, origins and digests on both sides, negatives within a component, humans without a negative (of groups without a derangement), repeated pairs. All leakage counts must be 0."""
     pairs = stash(current_pairs(spark, sf_dir, seeds), "pairs")
     by = ["language", *_seed(seeds), "fold", "generator"]
 
@@ -183,7 +183,7 @@ def leakage_audit(spark: SparkSession, sf_dir: str, seeds: tuple[int, ...] = (SE
         ends = pairs.select(*by, "side", F.explode(F.array(a, b)).alias("x")).groupBy(*by, "x").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
         return ends.groupBy(*by).agg(F.count_if(F.expr("lo <> hi")).alias(name))
 
-    rows = pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.count_if(F.expr("label = 0 and human_root = candidate_root")).alias("component_violations"))
+    rows = pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), F.count_if(F.expr("label = 0 and human_root = candidate_root")).alias("component_violations"), (F.count_if(F.expr("label = 1")) - F.count_if(F.expr("label = 0"))).alias("missing_negatives"))
     distinct = pairs.groupBy(*by, "side", "label", "human_origin", "candidate_origin").agg(F.count("*").alias("k")).groupBy(*by).agg(F.sum(F.col("k") - 1).alias("repeated_pairs"))
     out = rows.join(distinct, by).join(on_both_sides("human_origin", "candidate_origin", "endpoint_leakage"), by).join(on_both_sides("human_sha", "candidate_sha", "content_leakage"), by)
     return out.withColumn("fold", F.col("fold").cast("bigint"))
@@ -275,9 +275,10 @@ _OFFSETS = f"""{_PLACED}, bad as (
   from placed a join placed b on a.language = b.language and a.fold = b.fold and a.side = b.side and a.generator = b.generator and a.root = b.root and a.origin <> b.origin
 ), groups as (select distinct language, fold, side, generator, n from placed), tried as (select g.*, unnest(range(1, n)) as d from groups g),
 offsets as (
-  select t.language, t.fold, t.side, t.generator, min(t.d) as "offset" from tried t
+  select g.language, g.fold, g.side, g.generator, min(t.d) filter (bad.d is null) as "offset" from groups g
+  left join tried t on g.language = t.language and g.fold = t.fold and g.side = t.side and g.generator = t.generator
   left join bad on bad.language = t.language and bad.fold = t.fold and bad.side = t.side and bad.generator = t.generator and bad.d = t.d
-  where bad.d is null group by all
+  group by all
 ), negatives as (
   select a.language, a.fold, a.side, a.generator, a.origin as human_origin, b.origin as candidate_origin, a.human_sha, b.candidate_sha, a.root as human_root, b.root as candidate_root
   from placed a join offsets o using (language, fold, side, generator)
@@ -313,7 +314,7 @@ ORACLE = {
     "component_order": _q(_ROOTS, "select language, root, size, row_number() over (partition by language, size order by tie, root) - 1 as place from comps"),
     "fold_assignment": _q(_FOLDS, "select language, origin, root, fold from folds"),
     "hash_order_positions": _q(_PLACED, "select language, fold, side, generator, origin, pos, n from placed"),
-    "derangement_offset": _q(_OFFSETS, 'select language, fold, side, generator, "offset" from offsets'),
+    "derangement_offset": _q(_OFFSETS, 'select language, fold, side, generator, "offset", case when "offset" is null then \'no derangement\' else \'ok\' end as status from offsets'),
     "negatives_current": _q(_OFFSETS, "select language, fold, side, generator, human_origin, candidate_origin from negatives"),
     "negatives_random": _q(f"{_PLACED}, {_START}", _RING),
     "negatives_hard": _q(_ROOTS, """, rooted as (select * from bank join roots using (language, origin)), d as (
@@ -322,10 +323,10 @@ ORACLE = {
       select language, generator, human_row, candidate_row, round(distance, 6) as distance from d qualify row_number() over (partition by language, generator, human_row order by distance, candidate_row) = 1"""),
     "pairs_leave_one_generator": _q(_OFFSETS, "select p.language, h.heldout, p.fold, p.side, p.label, count(*) as n_pairs, count(distinct human_origin) as n_humans from pairs p cross join (select distinct generator as heldout from bank) h where (p.side = 'test') = (p.generator = h.heldout) group by 1, 2, 3, 4, 5"),
     "pairs_leave_one_language": _q(_OFFSETS, ", ends as (select distinct language, unnest([human_sha, candidate_sha]) as sha from pairs where side = 'test') select language as heldout_language, count(*) as n_digests, count(*) filter (k > 1) as n_shared from (select *, count(*) over (partition by sha) as k from ends) group by 1"),
-    "leakage_audit": _q(_OFFSETS, f""", a as (select language, fold, generator, count(*) as n_pairs, count(*) filter (label = 0 and human_root = candidate_root) as component_violations,
+    "leakage_audit": _q(_OFFSETS, f""", a as (select language, fold, generator, count(*) as n_pairs, count(*) filter (label = 0 and human_root = candidate_root) as component_violations, count(*) filter (label = 1) - count(*) filter (label = 0) as missing_negatives,
         count(*) - count(distinct (side, label, human_origin, candidate_origin)) as repeated_pairs from pairs group by 1, 2, 3),
       e as ({_BOTH.format("human_origin", "candidate_origin")}), c as ({_BOTH.format("human_sha", "candidate_sha")})
-      select language, fold, generator, n_pairs, component_violations, repeated_pairs, e.k as endpoint_leakage, c.k as content_leakage from a join e using (language, fold, generator) join c using (language, fold, generator)"""),
+      select language, fold, generator, n_pairs, component_violations, missing_negatives, repeated_pairs, e.k as endpoint_leakage, c.k as content_leakage from a join e using (language, fold, generator) join c using (language, fold, generator)"""),
     "split_metadata_counts": _q(_OFFSETS, "select language, fold, side, generator, count(*) filter (label = 0) as n_negative, count(*) filter (label = 1) as n_positive, count(distinct human_root) as n_components from pairs group by 1, 2, 3, 4"),
     "pair_spec_leakage": f"""with p as (select side = 'train' as t, language, {_d("human_code_sha256")} as hd, {_d("candidate_code_sha256")} as cd, {_o("human_origin_id")} as ho, {_o("candidate_origin_id")} as co from pair_spec where side is not null),
       v as (select t, 'digest' as kind, '' as scope, unnest([hd, cd]) as x from p union all select t, 'origin', language, unnest([ho, co]) from p)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +42,31 @@ def code_sha_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(record_id, language, role, text)``: both texts of each record that are there; a narrow step."""
+    ends = F.array(*(F.struct(F.lit(role).alias("role"), F.col(f"{role}_src").alias("text")) for role in ("human", "llm")))
+    return _task(spark, sf_dir).select("record_id", "language", F.explode(ends).alias("e")).select("record_id", "language", "e.role", "e.text").where("text is not null")
+
+
+def _runs(values: F.Column, zero: F.Column, of: Callable, first: str | int = "") -> F.Column:
+    """Fold over the runs of equal values of a sorted array: ``of(state, length of run)``, from zero; no shuffle."""
+    begin = F.struct(F.lit(first).alias("p"), F.lit(0).alias("n"), zero.alias("s"))
+    same = lambda a, x: F.struct(a["p"].alias("p"), (a["n"] + 1).alias("n"), a["s"].alias("s"))
+    other = lambda a, x: F.struct(x.alias("p"), F.lit(1).alias("n"), of(a["s"], a["n"]).alias("s"))
+    return F.aggregate(F.array_sort(values), begin, lambda a, x: F.when((a["p"] == x) & (a["n"] > 0), same(a, x)).otherwise(other(a, x)), lambda a: of(a["s"], a["n"]))
+
+
+def _longest_run(values: F.Column, first: str | int = "") -> F.Column:
+    return _runs(values, F.lit(0), lambda s, n: F.greatest(s, n), first)
+
+
+def _sum(values: F.Column) -> F.Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def _python_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.regexp_extract_all("human_src", F.lit(r"(?m)^[ \t]*def[ \t]+([A-Za-z0-9_]+)[ \t]*\("), 1)
-    return _task(spark, sf_dir).where("language = 'py' and human_src is not null").select("record_id", F.explode(names).alias("name"))
+    names = F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*def[ \t]+([A-Za-z0-9_]+)[ \t]*\("), 1)
+    return _texts(spark, sf_dir).where("language = 'py'").select("record_id", "role", names.alias("names")).where(F.size("names") > 0)
 
 
 def _style(name: F.Column) -> F.Column:
@@ -55,72 +79,96 @@ def _style(name: F.Column) -> F.Column:
 
 
 def naming_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python function names by naming style."""
-    return _python_names(spark, sf_dir).groupBy(_style(F.col("name")).alias("style")).agg(F.count("*").alias("n_names"), F.countDistinct("name").alias("n_distinct"))
+    """Python function names by role and naming style."""
+    names = _python_names(spark, sf_dir).select("role", F.explode("names").alias("name"))
+    return names.groupBy("role", _style(F.col("name")).alias("style")).agg(F.count("*").alias("n_names"), F.countDistinct("name").alias("n_distinct"))
 
 
 def naming_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the commonest style among each Python record's function names, and their mean length."""
-    counts = _python_names(spark, sf_dir).groupBy("record_id", _style(F.col("name")).alias("style")).agg(F.count("*").alias("n"), F.sum(F.length("name")).alias("chars"))
-    return counts.groupBy("record_id").agg(F.round(F.max("n") / F.sum("n"), 6).alias("consistency"), F.round(F.sum("chars") / F.sum("n"), 6).alias("mean_length"))
+    """Share of the commonest style among each Python text's function names, and their mean length."""
+    styles, n = F.transform("names", _style), F.size("names")
+    chars = _sum(F.transform("names", lambda x: F.length(x).cast("double")))
+    return _python_names(spark, sf_dir).select("record_id", "role", F.round(_longest_run(styles) / n, 6).alias("consistency"), F.round(chars / n, 6).alias("mean_length"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Physical lines of human_src; a line end at the very end opens no further line."""
-    text = F.regexp_replace("human_src", r"\n\z", "")
-    return _task(spark, sf_dir).where("human_src <> ''").select("record_id", "language", F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    """``(record_id, language, role, lines)``: physical lines of both texts; a line end at the very end opens no further line."""
+    lines = F.split(F.regexp_replace("text", r"\n\z", ""), "\n")
+    return _texts(spark, sf_dir).where("text <> ''").select("record_id", "language", "role", lines.alias("lines"))
+
+
+def _body(line: F.Column) -> F.Column:
+    return F.trim(F.translate(line, "\t\r\f", "   "))
 
 
 def indentation_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the commonest indent width of each record's human code; 1 where nothing is indented."""
-    body = F.regexp_replace("line", r"^[ \t\r\f]+", "")
-    counted = (body != "") & ~body.rlike(r"^(#|//|/\*|\*)") & (F.length("line") > F.length(body))
-    width = F.length(F.replace(F.substring("line", F.lit(1), F.length("line") - F.length(body)), F.lit("\t"), F.lit("    ")))
-    per = _lines(spark, sf_dir).withColumn("width", F.when(counted, width)).groupBy("record_id", "width").agg(F.count("*").alias("n"))
-    full = F.col("width").isNotNull()
-    return per.groupBy("record_id").agg(F.round(F.coalesce(F.max(F.when(full, F.col("n"))) / F.sum(F.when(full, F.col("n"))), F.lit(1.0)), 6).alias("consistency"))
+    """Share of the commonest indent width of each text; 1 where nothing is indented."""
+
+    def width(line: F.Column) -> F.Column:
+        body = F.regexp_replace(line, r"^[ \t\r\f]+", "")
+        counted = (body != "") & ~body.rlike(r"^(#|//|/\*|\*)") & (F.length(line) > F.length(body))
+        return F.when(counted, F.length(F.replace(F.substring(line, F.lit(1), F.length(line) - F.length(body)), F.lit("\t"), F.lit("    "))))
+
+    widths = _lines(spark, sf_dir).select("record_id", "role", F.filter(F.transform("lines", width), lambda w: w.isNotNull()).alias("w"))
+    share = F.when(F.size("w") > 0, _longest_run(F.col("w"), 0) / F.size("w")).otherwise(1.0)
+    return widths.select("record_id", "role", F.round(share, 6).alias("consistency"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all("text", F.lit(_ID), 0)
+    return _texts(spark, sf_dir).select("record_id", "role", words.alias("w")).where(F.size("w") > 0)
 
 
 def identifier_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entropy in bits of the words of each record's human code."""
-    words = _task(spark, sf_dir).where("human_src is not null").select("record_id", F.explode(F.regexp_extract_all("human_src", F.lit(_ID), 0)).alias("w"))
-    counts = words.groupBy("record_id", "w").agg(F.count("*").alias("n"))
-    # H = log2(N) - sum(n log2 n) / N: one aggregation, no second pass for N
-    total = F.sum("n")
-    return counts.groupBy("record_id").agg(F.round(F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total, 6).alias("entropy"))
+    """Entropy in bits of the words of each text (keywords and words in strings and comments too; code_vectors has that of the identifiers)."""
+    # H = log2(N) - sum(n log2 n) / N, folded over the runs of the sorted words
+    total = _runs(F.col("w"), F.lit(0.0), lambda s, n: s + F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0))
+    n = F.size("w")
+    return _words(spark, sf_dir).select("record_id", "role", F.round(F.log2(n.cast("double")) - total / n, 6).alias("entropy"))
+
+
+def _mean_sd(values: F.Column) -> tuple[F.Column, F.Column]:
+    """Mean and population deviation of a non-empty array of doubles, 0 of an empty one."""
+    n = F.size(values)
+    mean = F.when(n > 0, _sum(values) / n).otherwise(0.0)
+    return mean, F.when(n > 0, F.sqrt(_sum(F.transform(values, lambda x: (x - mean) * (x - mean))) / n)).otherwise(0.0)
 
 
 def identifier_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and population deviation of word lengths by record."""
-    words = _task(spark, sf_dir).where("human_src is not null").select("record_id", F.explode(F.regexp_extract_all("human_src", F.lit(_ID), 0)).alias("w"))
-    return words.groupBy("record_id").agg(F.count("*").alias("n_words"), F.round(F.avg(F.length("w")), 6).alias("mean_length"), F.round(F.stddev_pop(F.length("w")), 6).alias("sd_length"))
+    """Mean and population deviation of word lengths by text."""
+    sized = _words(spark, sf_dir).select("record_id", "role", F.transform("w", lambda x: F.length(x).cast("double")).alias("n"))
+    mean, sd = _mean_sd(F.col("n"))
+    return sized.select("record_id", "role", F.size("n").cast("bigint").alias("n_words"), F.round(mean, 6).alias("mean_length"), F.round(sd, 6).alias("sd_length"))
 
 
 def format_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank-line ratio, and mean and population deviation of the non-blank lines' lengths."""
-    full = F.trim(F.translate("line", "\t\r\f", "   ")) != ""
-    size = F.when(full, F.length("line"))
-    return _lines(spark, sf_dir).groupBy("record_id").agg(
-        F.round(F.count_if(~full) / F.count("*"), 6).alias("blank_ratio"),
-        F.round(F.coalesce(F.avg(size), F.lit(0.0)), 6).alias("mean_length"),
-        F.round(F.coalesce(F.stddev_pop(size), F.lit(0.0)), 6).alias("sd_length"),
-    )
+    sizes = F.transform(F.filter("lines", lambda x: _body(x) != ""), lambda x: F.length(x).cast("double"))
+    full = _lines(spark, sf_dir).select("record_id", "role", F.size("lines").alias("k"), sizes.alias("n"))
+    mean, sd = _mean_sd(F.col("n"))
+    return full.select("record_id", "role", F.round((F.col("k") - F.size("n")) / F.col("k"), 6).alias("blank_ratio"), F.round(mean, 6).alias("mean_length"), F.round(sd, 6).alias("sd_length"))
 
 
 def brace_nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean nesting depth of C, C++ and Java code: running balance of braces over lines that are no comment."""
-    body = F.trim(F.translate("line", "\t\r\f", "   "))
-    kept = _lines(spark, sf_dir).where(F.col("language").isin("c", "cpp", "java")).where((body != "") & ~body.rlike(r"^(//|/\*|\*)"))
-    step = F.length("line") - F.length(F.replace("line", F.lit("{"), F.lit(""))) - (F.length("line") - F.length(F.replace("line", F.lit("}"), F.lit(""))))
-    depth = F.sum(step).over(Window.partitionBy("record_id").orderBy("at"))
-    return kept.select("record_id", F.greatest(depth, F.lit(0)).alias("depth")).groupBy("record_id").agg(F.round(F.avg("depth"), 6).alias("mean_depth"), F.max("depth").cast("bigint").alias("max_depth"))
+    kept = F.filter("lines", lambda x: (_body(x) != "") & ~_body(x).rlike(r"^(//|/\*|\*)"))
+    texts = _lines(spark, sf_dir).where(F.col("language").isin("c", "cpp", "java")).select("record_id", "role", kept.alias("k")).where(F.size("k") > 0)
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    begin = F.struct(F.lit(0).alias("run"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("most"))
+
+    def step(a: F.Column, x: F.Column) -> F.Column:
+        run = a["run"] + count(x, "{") - count(x, "}")
+        return F.struct(run.alias("run"), (a["sum"] + F.greatest(run, F.lit(0))).cast("bigint").alias("sum"), F.greatest(a["most"], run).alias("most"))
+
+    out = texts.select("record_id", "role", F.size("k").alias("n"), F.aggregate("k", begin, step).alias("d"))
+    return out.select("record_id", "role", F.round(F.col("d.sum") / F.col("n"), 6).alias("mean_depth"), F.col("d.most").cast("bigint").alias("max_depth"))
 
 
 def line_comment_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the non-blank lines that begin as a comment (without block state)."""
-    body = F.trim(F.translate("line", "\t\r\f", "   "))
-    is_comment = F.when(F.col("language") == "py", body.startswith("#")).otherwise(body.rlike(r"^(//|/\*)"))
-    return _lines(spark, sf_dir).where((body != "") & F.col("language").isNotNull()).groupBy("record_id").agg(F.round(F.count_if(is_comment) / F.count("*"), 6).alias("ratio"))
+    bodies = _lines(spark, sf_dir).where(F.col("language").isNotNull()).select("record_id", "role", "language", F.filter(F.transform("lines", _body), lambda x: x != "").alias("b")).where(F.size("b") > 0)
+    n = F.size(F.filter("b", lambda x: F.when(F.col("language") == "py", x.startswith("#")).otherwise(x.rlike(r"^(//|/\*)"))))
+    return bodies.select("record_id", "role", F.round(n / F.size("b"), 6).alias("ratio"))
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,10 +300,11 @@ QUERIES = {
 }
 
 _STYLE_SQL = "case " + " ".join(f"when regexp_matches(name, '{p}') then '{n}'" for n, p in (("camelCase", "^[a-z]+(?:[A-Z][a-z]*)*$"), ("snake_case", "^[a-z]+(?:_[a-z]+)+$"), ("PascalCase", "^[A-Z][a-z]+(?:[A-Z][a-z]*)*$"), ("UPPER_SNAKE_CASE", "^[A-Z]+(?:_[A-Z]+)+$"))) + " else 'Other' end"
-_NAMES_SQL = r"names as (select record_id, unnest(regexp_extract_all(human_src, '(?m)^[ \t]*def[ \t]+([A-Za-z0-9_]+)[ \t]*\(', 1)) as name from task1 where language = 'py' and human_src is not null)"
-_WORDS_SQL = f"words as (select record_id, unnest(regexp_extract_all(human_src, '{_ID}')) as w from task1 where human_src is not null)"
-_LINES_SQL = r"""texts as (select record_id, language, string_split(regexp_replace(human_src, '\n$', ''), chr(10)) as ls from task1 where human_src <> ''),
-lines as (select record_id, language, unnest(ls) as line, unnest(range(len(ls))) as line_no from texts)"""
+_TEXTS_SQL = "both_texts as (select record_id, language, 'human' as role, human_src as text from task1 where human_src is not null union all select record_id, language, 'llm', llm_src from task1 where llm_src is not null)"
+_NAMES_SQL = _TEXTS_SQL + r", names as (select record_id, role, unnest(regexp_extract_all(text, '(?m)^[ \t]*def[ \t]+([A-Za-z0-9_]+)[ \t]*\(', 1)) as name from both_texts where language = 'py')"
+_WORDS_SQL = f"{_TEXTS_SQL}, words as (select record_id, role, unnest(regexp_extract_all(text, '{_ID}')) as w from both_texts)"
+_LINES_SQL = _TEXTS_SQL + r""", texts as (select record_id, language, role, string_split(regexp_replace(text, '\n$', ''), chr(10)) as ls from both_texts where text <> ''),
+lines as (select record_id, language, role, unnest(ls) as line, unnest(range(len(ls))) as line_no from texts)"""
 _BODY = "trim(translate(line, chr(9) || chr(13) || chr(12), '   '))"
 _SCORED = "select language, label, case when length(human_src) > 0 and length(llm_src) > 0 then least(length(human_src), length(llm_src)) / greatest(length(human_src), length(llm_src)) else 0.0 end as r from task1 where human_src is not null and llm_src is not null and label is not null"
 _TOK = f"list_distinct(regexp_extract_all({{0}}, '{TOKENS}'))"
@@ -268,20 +317,20 @@ ORACLE = {
     "normalize_source_id": "select record_id, case when label = 0 then human_file_name else file_name end as human_source_id from task1",
     "first_k_groups": "with g as (select language, case when label = 0 then human_file_name else file_name end as human_source_id, min(record_id) as first_row, count(*) as n_rows from task1 where language is not null group by 1, 2) select * from (select *, row_number() over (partition by language order by first_row) as place from g where human_source_id is not null) where place <= 50",
     "code_sha_inventory": "select language, count(*) as n_rows, count(*) filter (label = 1) as n_positive, count(distinct sha256(human_src)) as n_human, count(distinct sha256(llm_src)) as n_llm from task1 group by 1",
-    "naming_class_counts": f"with {_NAMES_SQL} select {_STYLE_SQL} as style, count(*) as n_names, count(distinct name) as n_distinct from names group by 1",
-    "naming_consistency": f"with {_NAMES_SQL}, c as (select record_id, {_STYLE_SQL} as style, count(*) as n, sum(length(name)) as chars from names group by 1, 2) select record_id, round(max(n) / sum(n), 6) as consistency, round(sum(chars) / sum(n), 6) as mean_length from c group by 1",
-    "indentation_consistency": rf"""with {_LINES_SQL}, b as (select record_id, line, regexp_replace(line, '^[ \t\r\f]+', '') as body from lines),
-      w as (select record_id, case when body <> '' and not regexp_matches(body, '^(#|//|/\*|\*)') and length(line) > length(body) then length(replace(substr(line, 1, length(line) - length(body)), chr(9), '    ')) end as width from b),
-      c as (select record_id, width, count(*) as n from w group by 1, 2)
-      select record_id, round(coalesce(max(n) filter (width is not null) / sum(n) filter (width is not null), 1.0), 6) as consistency from c group by 1""",
-    "identifier_entropy": f"with {_WORDS_SQL}, c as (select record_id, w, count(*) as n from words group by 1, 2), t as (select *, n / sum(n) over (partition by record_id) as p from c) select record_id, round(-sum(p * log2(p)), 6) + 0.0 as entropy from t group by 1",
-    "identifier_length_stats": f"with {_WORDS_SQL} select record_id, count(*) as n_words, round(avg(length(w)), 6) as mean_length, round(stddev_pop(length(w)), 6) as sd_length from words group by 1",
-    "format_features": f"with {_LINES_SQL} select record_id, round(count(*) filter ({_BODY} = '') / count(*), 6) as blank_ratio, round(coalesce(avg(length(line)) filter ({_BODY} <> ''), 0.0), 6) as mean_length, round(coalesce(stddev_pop(length(line)) filter ({_BODY} <> ''), 0.0), 6) as sd_length from lines group by 1",
-    "brace_nesting_depth": rf"""with {_LINES_SQL}, k as (select record_id, line_no, 2 * length(line) - length(replace(line, '{{', '')) - length(line) - (length(line) - length(replace(line, '}}', ''))) as step from lines
+    "naming_class_counts": f"with {_NAMES_SQL} select role, {_STYLE_SQL} as style, count(*) as n_names, count(distinct name) as n_distinct from names group by 1, 2",
+    "naming_consistency": f"with {_NAMES_SQL}, c as (select record_id, role, {_STYLE_SQL} as style, count(*) as n, sum(length(name)) as chars from names group by 1, 2, 3) select record_id, role, round(max(n) / sum(n), 6) as consistency, round(sum(chars) / sum(n), 6) as mean_length from c group by 1, 2",
+    "indentation_consistency": rf"""with {_LINES_SQL}, b as (select record_id, role, line, regexp_replace(line, '^[ \t\r\f]+', '') as body from lines),
+      w as (select record_id, role, case when body <> '' and not regexp_matches(body, '^(#|//|/\*|\*)') and length(line) > length(body) then length(replace(substr(line, 1, length(line) - length(body)), chr(9), '    ')) end as width from b),
+      c as (select record_id, role, width, count(*) as n from w group by 1, 2, 3)
+      select record_id, role, round(coalesce(max(n) filter (width is not null) / sum(n) filter (width is not null), 1.0), 6) as consistency from c group by 1, 2""",
+    "identifier_entropy": f"with {_WORDS_SQL}, c as (select record_id, role, w, count(*) as n from words group by 1, 2, 3), t as (select *, n / sum(n) over (partition by record_id, role) as p from c) select record_id, role, round(-sum(p * log2(p)), 6) + 0.0 as entropy from t group by 1, 2",
+    "identifier_length_stats": f"with {_WORDS_SQL} select record_id, role, count(*) as n_words, round(avg(length(w)), 6) as mean_length, round(stddev_pop(length(w)), 6) as sd_length from words group by 1, 2",
+    "format_features": f"with {_LINES_SQL} select record_id, role, round(count(*) filter ({_BODY} = '') / count(*), 6) as blank_ratio, round(coalesce(avg(length(line)) filter ({_BODY} <> ''), 0.0), 6) as mean_length, round(coalesce(stddev_pop(length(line)) filter ({_BODY} <> ''), 0.0), 6) as sd_length from lines group by 1, 2",
+    "brace_nesting_depth": rf"""with {_LINES_SQL}, k as (select record_id, role, line_no, 2 * length(line) - length(replace(line, '{{', '')) - length(line) - (length(line) - length(replace(line, '}}', ''))) as step from lines
       where language in ('c', 'cpp', 'java') and {_BODY} <> '' and not regexp_matches({_BODY}, '^(//|/\*|\*)')),
-      d as (select record_id, greatest(sum(step) over (partition by record_id order by line_no), 0) as depth from k)
-      select record_id, round(avg(depth), 6) as mean_depth, max(depth)::bigint as max_depth from d group by 1""",
-    "line_comment_ratio": rf"with {_LINES_SQL} select record_id, round(count(*) filter (case when language = 'py' then starts_with({_BODY}, '#') else regexp_matches({_BODY}, '^(//|/\*)') end) / count(*), 6) as ratio from lines where {_BODY} <> '' and language is not null group by 1",
+      d as (select record_id, role, greatest(sum(step) over (partition by record_id, role order by line_no), 0) as depth from k)
+      select record_id, role, round(avg(depth), 6) as mean_depth, max(depth)::bigint as max_depth from d group by 1, 2""",
+    "line_comment_ratio": rf"with {_LINES_SQL} select record_id, role, round(count(*) filter (case when language = 'py' then starts_with({_BODY}, '#') else regexp_matches({_BODY}, '^(//|/\*)') end) / count(*), 6) as ratio from lines where {_BODY} <> '' and language is not null group by 1, 2",
     "comment_injection": "select record_id, sha256(llm_src) as input_sha256, sha256('/* deterministic T4 style probe */' || chr(10) || llm_src) as output_sha256 from task1 where language in ('c', 'cpp', 'java') and llm_src is not null",
     "line_layout": r"""with x as (select record_id, regexp_replace(regexp_replace(regexp_replace(human_src, '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+', '') as t from task1 where human_src is not null and not contains(human_src, chr(13)))
       select record_id, sha256(t) as output_sha256, len(string_split(t, chr(10))) as n_lines from x""",
