@@ -69,12 +69,39 @@ src as (
 sets as (select record_id, min(record_id) over (partition by h, m) as keep_id, count(*) over (partition by h, m) as n_copies from forms where h <> '' and m <> '')
 """
 
+_NEAR = f"""
+forms as (select distinct record_id, {_plain("human_src")} as h, {_plain("llm_src")} as m from task1),
+recs as (select * from forms where h <> '' and m <> ''),
+texts as (select side, t, row_number() over (order by side, t) as i from (select distinct 0 as side, h as t from recs union select distinct 1, m from recs)),
+grams as (select distinct side, i, unnest(list_transform(range(1, length(t) - 6), lambda k: substr(t, k, 8))) as g from texts where length(t) >= 8),
+sizes as (select side, i, count(*) as n from grams group by 1, 2),
+shared as (select a.side, a.i as x, b.i as y, count(*) as k from grams a join grams b on a.side = b.side and a.g = b.g and a.i < b.i group by 1, 2, 3),
+alike as (select s.side, x, y from shared s join sizes a on a.i = x join sizes b on b.i = y where 10 * k >= 6 * (a.n + b.n - k)),
+near as (select side, x, y from alike union all select side, y, x from alike union all select side, i, i from sizes),
+r as (select record_id, h.i as hi, m.i as mi from recs join texts h on h.side = 0 and h.t = recs.h join texts m on m.side = 1 and m.t = recs.m),
+edges as (select distinct a.record_id as a, b.record_id as b from r a join near h on h.side = 0 and h.x = a.hi join r b on b.hi = h.y join near m on m.side = 1 and m.x = a.mi and m.y = b.mi where a.record_id <> b.record_id),
+reach(i, g) as (select distinct a, a from edges union select e.b, reach.g from reach join edges e on e.a = reach.i),
+grouped as (select min(g) as group_id, i as record_id from reach group by i)
+"""
+
+_LEAKS = r"""
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+q as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from eval_items),
+dw as (select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as x from d where len(w) >= 13),
+qw as (select distinct item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) as x from q where len(w) >= 13),
+leaks as (select distinct doc_id, item_id from dw join qw using (x))
+"""
+
 ORACLE = {
     "p1_found": f"with recursive {_GROUPS} select language, group_id, human_origin_id from grouped",
     "p1_group_sizes": f"with recursive {_GROUPS}, s as (select language, group_id, count(*) as origins from grouped group by 1, 2) select language, origins, count(*) as n_groups from s group by 1, 2",
     "p2_found": f"with {_LEAKED} select side, llm_source, pair_id from leaked",
     "p2_report": f"with {_LEAKED} select side, llm_source, count(*) as n_rows from leaked group by 1, 2",
     "p2_coverage": f"with {_LEAKED} select side, pair_id, n::bigint as covered_tokens, 4::bigint as n_tokens from leaked",
+    "p3_found": f"with recursive {_NEAR} select group_id, record_id from grouped",
+    "p3_group_sizes": f"with recursive {_NEAR}, s as (select group_id, count(*) as records from grouped group by 1) select records, count(*) as n_groups from s group by 1",
+    "p7_found": f"with {_LEAKS} select doc_id, item_id from leaks",
+    "p7_items": f"with {_LEAKS} select item_id, count(*) as n_documents from leaks group by 1",
     "p5_found": f"with {_COPIES} select keep_id, record_id from sets where record_id <> keep_id",
     "p5_representatives": f"with {_COPIES} select keep_id, n_copies from sets where record_id = keep_id",
 }
