@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from twinloom.plans import bank, code, ledger, model
+from twinloom.plans import audit, bank, code, ledger, model
 from twinloom.streaming import cells
 
-QUERIES = bank.QUERIES | code.QUERIES | ledger.QUERIES | model.QUERIES | cells.QUERIES
-ORACLE = bank.ORACLE | code.ORACLE | ledger.ORACLE | model.ORACLE | cells.ORACLE
+QUERIES = audit.QUERIES | bank.QUERIES | code.QUERIES | ledger.QUERIES | model.QUERIES | cells.QUERIES
+ORACLE = audit.ORACLE | bank.ORACLE | code.ORACLE | ledger.ORACLE | model.ORACLE | cells.ORACLE

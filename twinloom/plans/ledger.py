@@ -8,6 +8,7 @@ condition; a cell's score is its mean value scaled to at most 1.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,39 +84,26 @@ SQL = {
     "pair_bank_lookup": """with p as (select p.pair_id, p.label, h.language as h_language, c.language as c_language, h.human_origin_id as h_origin, c.candidate_origin_id as c_origin, p.human_positive_row_idx as hi, p.candidate_positive_row_idx as ci
         from pair_spec p left join feature_bank h on h.bank_row_id = p.human_positive_row_idx left join feature_bank c on c.bank_row_id = p.candidate_positive_row_idx)
       select cast(label as bigint) as label, count(*) as n_pairs, count(h_origin) as n_human, count(c_origin) as n_candidate, count(*) filter (where h_origin = c_origin) as n_same_origin, count(*) filter (where hi is null or ci is null) as n_unresolved from p group by label""",
-    "prohibited_language_scan": " union all ".join(
-        f"select '{name}' as pattern, count(*) as n_documents from documents where {{match}}(lower(text), '{p}')"
-        for name, p in (
-            ("legacy_gate_a", r"legacy\s+gate\s*a"),
-            ("smoke", r"\bsmoke\b"),
-            ("preflight", r"\bpreflight\b"),
-            ("statistical_significance", r"statistically\s+significant"),
-            ("folds_as_datasets", r"(?:folds?\s+(?:are|as)\s+independent\s+datasets|independent\s+datasets?\s+(?:are|across)\s+folds?)"),
-            ("universal_claim", r"\b(?:universal|all[- ]llm|all[- ]language|attack[- ]proof)\b"),
-        )
-    ),
 }
 
 # cell means lie on a decimal grid, so sums in another order would flip ties: results are rounded just off them
 SQL = {name: text.replace(", 6)", " + 3e-10, 6)") for name, text in SQL.items()}
 
-_TABLES = ("events", "pair_spec", "feature_bank", "documents")
+_TABLES = ("events", "pair_spec", "feature_bank")
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    text = SQL[name].replace("{match}", "regexp_like")
-    for p in ("'legacy", "'\\b", "'statistically", "'(?:folds"):  # raw string literals for Spark
-        text = text.replace(f", {p}", f", r{p}")
+    text = SQL[name]
+    used = [t for t in _TABLES if f" {t}" in text]
+    for t in used:  # tables are arguments of the statement, so that no view of the caller is replaced
+        text = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", text)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        for t in _TABLES:
-            if t in text:
-                table(spark, sf_dir, t).createOrReplaceTempView(t)
-        return spark.sql(text)
+        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
     run.__name__ = name
     return run
 
 
 QUERIES = {name: _query(name) for name in SQL}
-ORACLE = {name: text.replace("{match}", "regexp_matches") for name, text in SQL.items()}
+ORACLE = dict(SQL)
