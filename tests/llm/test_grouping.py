@@ -1,6 +1,7 @@
 """Problems 1 to 5: grouping, overlap, near-duplicates, splits and copies, against brute force on small tables."""
 
 import json
+import math
 import random
 import re
 from collections import defaultdict
@@ -163,6 +164,40 @@ def test_near_duplicates_of_large_families(spark, monkeypatch, hot):
     assert {tuple(r) for r in near_dup.near_duplicates(df).collect()} == brute_near(rows)
 
 
+def test_candidates_do_not_depend_on_shards(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(i, edited(rnd, h, 0.05), edited(rnd, m, 0.05)) for i, (h, m) in enumerate([(code(rnd, 9), code(rnd, 9))] * 6 + [(code(rnd, 12), code(rnd, 12)) for _ in range(12)])]
+    df = spark.createDataFrame(rows, "record_id bigint, human_src string, llm_src string")
+    texts = near_dup._texts(df.select("record_id", "human_src", "llm_src"))
+    got = []
+    for n in (1, 3, 24):
+        monkeypatch.setattr(near_dup, "shard_counts", lambda *_, n=n: {0: n, 1: n + 1})
+        got.append({tuple(r) for r in near_dup.group_pairs(near_dup.shared_counts(texts)).collect()})
+    assert got[0] and got[0] == got[1] == got[2]
+
+
+@pytest.mark.parametrize("members", [1, 64])
+def test_groups_of_identical_prefix_and_size(spark, monkeypatch, members):
+    """Texts that differ in their most frequent substrings only are one group; large groups are settled by their least member first."""
+    monkeypatch.setattr(near_dup, "MEMBERS", members)
+    rnd = random.Random(13)
+    head, common = code(rnd, 14), [code(rnd, 6) for _ in range(3)]
+    rows = [(i, head + common[i % 3], head + common[(i + 1) % 3]) for i in range(9)] + [(100 + i, common[i % 3], common[i % 2] + f" x{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "record_id bigint, human_src string, llm_src string")
+    assert {tuple(r) for r in near_dup.near_duplicates(df).collect()} == brute_near(rows)
+
+
+def test_limits_admit_every_partner():
+    """A substring at place pos counts for each partner that the prefix lemma allows it for."""
+    for n in (1, 7, 40, 333):
+        k = int(near_dup.least_overlap(n))
+        pos = near_dup.np.arange(n)
+        limits = near_dup.partner_limits(near_dup.np.full(n, n), pos).astype(int)
+        for m in range(max(1, math.ceil(0.6 * n)), int(n / 0.6) + 1):
+            need = math.ceil(0.375 * (n + m) - 1e-9)
+            assert all(m * 128 <= limits[p] * n for p in pos if p < n - need + k)
+
+
 def test_near_duplicates_empty(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "record_id bigint, human_src string, llm_src string")).collect() == []
 
