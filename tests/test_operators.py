@@ -1,5 +1,6 @@
 """Components, folds, pairs, neighbours, representations, sources and sinks on small tables."""
 
+import hashlib
 import json
 import random
 from collections import defaultdict
@@ -11,6 +12,7 @@ from twinloom.operators import measure, model, pairing
 from twinloom.operators.components import assign_folds, content_components, fold_plan
 from twinloom.operators.ranking import hash_positions
 from twinloom.plans.ledger import QUERIES as LEDGER
+from twinloom.runtime import stash
 from twinloom.sources import jsonl, sinks
 
 
@@ -89,6 +91,27 @@ def test_negatives(spark, seed, monkeypatch):
     assert {r.human_origin for r in pairing.random_negatives(placed, 2).collect()} == set(root)
 
 
+@pytest.mark.parametrize("stretch", [3, 50])
+def test_random_negatives_of_large_components(spark, stretch, monkeypatch):
+    rnd = random.Random(stretch)
+    tables = []
+    monkeypatch.setattr(pairing, "stash", lambda df, name: tables.append(name) or stash(df, name))
+    groups = {"one": ["r"] * 40, "large": ["r"] * 117 + ["a", "b", "b"], "mixed": [f"r{rnd.randrange(3)}" for _ in range(60)], "lone": ["r"]}
+    placed = [_placed(spark, roots).withColumn("generator", F.lit(g)) for g, roots in groups.items()]
+    placed = stash(placed[0].unionByName(placed[1]).unionByName(placed[2]).unionByName(placed[3]), "placed")
+    got = {(r.generator, r.human_origin): r.candidate_origin for r in pairing.random_negatives(placed, stretch).collect()}
+    want = {}
+    for g in groups:
+        order = {r.pos: r for r in placed.where(F.col("generator") == g).collect()}
+        n = len(order)
+        for r in order.values():
+            start = int(hashlib.sha256("|".join(["random", "c", "42", "0", "test", g, r.origin]).encode()).hexdigest()[:12], 16) % n
+            if ring := [o for i in range(n) if (o := order[(start + i) % n]).root != r.root]:
+                want[g, r.origin] = ring[0].origin
+    assert got == want and len(want) == 180
+    assert len(tables) <= 2  # not a table a round
+
+
 def test_no_derangement_within_one_component(spark):
     placed = _placed(spark, ["r"] * 6)
     assert [r.offset for r in pairing.derangement_offsets(placed).collect()] == [None] and pairing.random_negatives(placed).count() == 0

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinloom.operators.ranking import hash_positions
@@ -85,27 +85,46 @@ def complete_negatives(placed: DataFrame) -> DataFrame:
     return current_negatives(placed)
 
 
-def random_negatives(placed: DataFrame, tries: int = 8) -> DataFrame:
+def next_of_other(placed: DataFrame, stretch: int) -> DataFrame:
+    """``(GROUP, pos, here, other, next)``: of each place of the hash order its origin, its root and the first origin after it, around
+    the ring, that is of another component; null where the component fills the group.
+
+    Places are scanned in stretches; where a component goes on to the end of one,
+    the first change of root from the next stretch on counts, from a table of one
+    row a stretch.
+    """
+    back = Window.partitionBy(*GROUP, "stretch").orderBy(F.desc("pos"))
+    ring = placed.select(*GROUP, "pos", "origin", "root", F.floor(F.col("pos") / stretch).alias("stretch"))
+    change = F.when(F.col("root") != F.lead("root").over(back), F.col("origin")).alias("change")  # lead: the place before
+    ring = ring.select("*", change)
+    earliest = lambda value, place: F.min_by(value, F.when(F.col(value).isNotNull(), F.col(place)))
+    ends = ring.groupBy(*GROUP, "stretch").agg(F.min_by("root", "pos").alias("first"), F.max_by("root", "pos").alias("last"), F.min_by("origin", "pos").alias("origin"), earliest("change", "pos").alias("change"))
+    ends = stash(ends, "stretches")
+    group = Window.partitionBy(*GROUP)
+    before = F.coalesce(F.lag("last").over(group.orderBy("stretch")), F.max_by("last", "stretch").over(group))
+    ends = ends.select(*GROUP, "stretch", F.when(F.col("first") != before, F.col("origin")).otherwise(F.col("change")).alias("entry"))
+    later = F.last("entry", ignorenulls=True).over(group.orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*GROUP, "stretch", F.coalesce(later, earliest("entry", "stretch").over(group)).alias("beyond"))
+    inside = F.last("change", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    scanned = ring.select(*GROUP, "stretch", "pos", F.col("origin").alias("here"), F.col("root").alias("other"), inside.alias("inside"))
+    return scanned.join(ends, [*GROUP, "stretch"]).select(*GROUP, "pos", "here", "other", F.coalesce("inside", "beyond").alias("next"))
+
+
+def random_negatives(placed: DataFrame, stretch: int = 4096) -> DataFrame:
     """``(GROUP, human_origin, candidate_origin)``: a digest of the human origin picks a place in the hash order, the next
     origin of another component from there on is taken.
 
-    The pick is uniform over the order and needs one lookup a try, not the
-    group's square.  Rounds of ``tries`` go on until every human has one or its
-    component fills the group; such humans don't come out.
+    The pick is uniform over the order and needs one lookup: if the place is of the
+    human's own component, the place's next origin of another component is the
+    human's too.  Humans whose component fills the group don't come out.  The number of jobs
+    depends neither on the groups nor on the components.
     """
     digest = order_digest(F.lit("random"), *(F.col(c).cast("string") for c in GROUP), F.col("origin"))
     start = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint"), F.col("n"))
-    ring = stash(placed.select(*GROUP, "pos", F.col("origin").alias("candidate_origin"), F.col("root").alias("other")), "ring")
-    left = stash(placed.select(*GROUP, F.col("origin").alias("human_origin"), "root", "n", start.alias("start")), "humans")
-    done, low = None, 0
-    while left.limit(1).count():
-        steps = left.select("*", F.explode(F.sequence(F.lit(low), F.least(F.lit(low + tries), F.col("n")) - 1)).alias("step")).withColumn("pos", F.pmod(F.col("start") + F.col("step"), F.col("n")))
-        hit = steps.join(ring, [*GROUP, "pos"]).where("root <> other").groupBy(*GROUP, "human_origin").agg(F.min_by("candidate_origin", "step").alias("candidate_origin"))
-        hit = stash(hit, "negatives")
-        done = hit if done is None else done.unionByName(hit)
-        low += tries
-        left = stash(left.where(F.col("n") > low).join(hit, [*GROUP, "human_origin"], "left_anti"), "humans")
-    return done if done is not None else left.select(*GROUP, "human_origin", F.col("human_origin").alias("candidate_origin"))
+    human = placed.select(*GROUP, F.col("origin").alias("human_origin"), "root", start.alias("pos"))
+    met = human.join(next_of_other(placed, stretch), [*GROUP, "pos"])
+    candidate = F.when(F.col("root") != F.col("other"), F.col("here")).otherwise(F.col("next")).alias("candidate_origin")
+    return met.select(*GROUP, "human_origin", candidate).where("candidate_origin is not null")
 
 
 def _packed(df: DataFrame, by: list[str], cols: list[str], n_blocks: int) -> DataFrame:
