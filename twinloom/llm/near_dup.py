@@ -10,18 +10,24 @@ smallest possible partner needs, ``n - T n + K``, and each substring carries the
 largest partner for which it still counts (later ones only serve small partners).
 
 Texts with identical prefix and size are one group, and only groups are joined.
-Prefixes are cut into token shards and sent as packed arrays, one row a group
-and shard, one shard a task; a shard's task counts the shared substrings of its
-group pairs.  These counts are summed over all shards before the overlap filter,
-so that neither the filter nor the candidates depend on the number of shards.
+The tokens of a prefix are dealt by hash to PARTS parts, and the groups of a side
+by hash to blocks; a task joins all tokens of one part in one pair of blocks.  So a
+group pair is met in one task a part, which counts all that it shares there, and if
+it shares what it needs in all, some part has a PARTS-th of that.  Smaller counts are
+dropped where they arise: pairs that share a few frequent substrings by chance,
+whose number grows faster than the input, never leave their task.  The counts
+that remain are summed over the parts, and a part not heard of counts with the
+most that it may have dropped; neither this filter nor the candidates depend on
+the number of blocks.  With many blocks the tasks are run in waves, so that only
+COPIES copies of the prefixes are shuffled at once.
 Group pairs that pass are expanded to their members, which are verified on the full
 texts, exactly.  Verified links are expanded to records over both columns, and
 linked records are consolidated by graph contraction.
 
-A token that more than ``RUN`` groups hold (a large family of near copies) is not
-paired out: its groups are only chained, in order of size, and the token is set
-aside.  Tokens of very high frequency are spread over shards by salt, chained
-there and always set aside.  Likewise the members of large groups are linked with
+A token that more than ``RUN`` groups of a task hold (a large family of near copies)
+is not paired out: its groups are only chained, in order of size, and the token is
+set aside.  Tokens of very high frequency go to one task a part and block, are
+chained there and always set aside.  Likewise the members of large groups are linked with
 their group's least member only.  Once the records linked so far have been
 consolidated, a second pass seeks the pairs that are not in one group yet, so that
 a family costs about its size, not its square, and no link between groups is
@@ -32,26 +38,32 @@ over the tokens set aside alone.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.llm.contraction import contract
 from twinloom.llm.plain import key, plain, record_keys
-from twinloom.runtime import stash
+from twinloom.runtime import discard, stash
 from twinloom.sources.tables import table
 
 WIDTH = 8
 THRESHOLD = 0.6
-OVERLAP = 16  # K, less for short texts
-RUN = 256  # groups with one token that are paired out
-HOT = 100_000  # occurrences above four times the mean slot from which a token is spread, and texts a salt
+OVERLAP = 96  # K at most
+STEP = 12  # substrings of a text for each of its K
+PARTS = 6  # token parts; a pair has at least a PARTS-th of its shared tokens in one of them
+RUN = 256  # groups with one token in a task that are paired out
+HOT = 100_000  # occurrences above four times the mean slot from which a token is always set aside
 SLOT_BITS = (16, 25)  # frequency table: from 2**16 to 2**25 classes of one byte
-SHARD_TOKENS = 4_000_000
+BLOCK_TOKENS = 3_000_000  # of one part and block; a task has two blocks at most
+COPIES = 2  # copies of all prefixes that are shuffled at once
 PAIRS = 16_000_000  # pairs by token that are looked at in one block, at most
 TEXTS = 2_000  # texts hashed at once
 MEMBERS = 64  # member pairs of two groups that are expanded at once
@@ -116,7 +128,12 @@ def binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 def least_overlap(n):
     """K for a text of n substrings; that of a pair is its smaller text's."""
-    return np.clip(np.asarray(n) // 16, 1, OVERLAP)
+    return np.clip(np.asarray(n) // STEP, 1, OVERLAP)
+
+
+def part_least(n):
+    """Of the tokens that a pair must share in the first pass, those that some part has at least; n is the smaller size."""
+    return -(-(-(-least_overlap(n) // 2)) // PARTS)
 
 
 def frequency_class(counts: np.ndarray) -> np.ndarray:
@@ -217,10 +234,26 @@ def _mixed(o: np.ndarray) -> np.ndarray:
     return o ^ (o >> np.uint64(29))
 
 
-def _prefix_rows(texts: DataFrame, classes, shards: dict[int, int], threshold: float) -> DataFrame:
-    """``(shard, g, k, n, tokens, limits, hot)``: the prefix of each group, packed by token shard; shards of side 1 follow those of side 0.
+def block_pairs(blocks: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of blocks, i <= j."""
+    return [(i, j) for i in range(blocks) for j in range(i, blocks)]
+
+
+def _packed(to: list[list[int]], keys: np.ndarray, **cols: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """A row for each stretch between the cuts, sent to the tasks of its key; columns not given are null."""
+    given = {f: binary(values, cuts) for f, (values, cuts) in cols.items()}
+    names = [f.split()[0] for f in _PREFIX.split(", ")]
+    full = [pa.array([to[i] for i in keys.tolist()], pa.list_(pa.int32())), *(given.get(f, pa.nulls(len(keys), pa.binary())) for f in names[1:])]
+    return pa.RecordBatch.from_arrays(full, names)
+
+
+_PREFIX = "to array<int>, g binary, n binary, lengths binary, tokens binary, limits binary, k binary"
+
+
+def _prefix_rows(texts: DataFrame, classes, blocks: dict[int, int], threshold: float) -> DataFrame:
+    """``(to, g, n, lengths, tokens, limits, k)``: the prefixes of many groups in one row, by token part and block, and the tasks that it goes to.
 
-    A text's key k is in one of its group's rows, that of its first token.
+    Rows without limits hold tokens of very high frequency, rows with k the members of groups; both go to one task.
     Tokens that occur once in all texts are left out.
     """
 
@@ -229,7 +262,16 @@ def _prefix_rows(texts: DataFrame, classes, shards: dict[int, int], threshold: f
         known = class_count(np.arange(256))
         mean = int(np.bincount(table_, minlength=256) @ known) // len(table_)
         hot_class = int(frequency_class(np.array([HOT + 4 * mean]))[0])
-        salts = (known // HOT + 1).astype(np.uint64)
+        base, every, own = 0, [], []  # tasks of a (side, block, part): those of all its block pairs, and that of the block with itself
+        first_cell = {}
+        for side in (0, 1):
+            first_cell[side] = len(every)
+            pairs = block_pairs(blocks[side])
+            for block in range(blocks[side]):
+                for part in range(PARTS):
+                    every.append([base + part * len(pairs) + i for i, pair in enumerate(pairs) if block in pair])
+                    own.append([base + part * len(pairs) + pairs.index((block, block))])
+            base += PARTS * len(pairs)
         seen: set[int] = set()
         for b in pieces(batches):
             x, first, count = batch_hashes(b.column(2))
@@ -245,71 +287,61 @@ def _prefix_rows(texts: DataFrame, classes, shards: dict[int, int], threshold: f
                 groups.append(g)
                 fresh.append(g not in seen)
                 seen.add(g)
-            if len(seen) > 1_000_000:  # only saves shuffle: a group that comes again is collapsed in its shards
+            if len(seen) > 1_000_000:  # only saves shuffle: a group that comes again is collapsed in its tasks
                 seen.clear()
-            n, g = np.array(sizes, np.int64), np.array(groups, np.int64)
+            if not codes:
+                continue
+            n, g, fresh = np.array(sizes, np.int64), np.array(groups, np.int64), np.array(fresh, bool)
+            cell = np.array([first_cell[0], first_cell[1]])[sides] + PARTS * (_mixed(g.view(np.uint64)) % np.array([blocks[0], blocks[1]], np.uint64)[sides]).astype(np.int64)
             lengths = np.array([len(o) for o in codes], np.int64)
+            some = np.flatnonzero(lengths > 0)
+            order = some[np.argsort(cell[some], kind="stable")]
+            starts = np.flatnonzero(np.diff(cell[order], prepend=-1))
+            if len(order):
+                keys = np.frombuffer(b"".join(b.column(1).to_pylist()), "S16")
+                cuts = np.append(starts, len(order))
+                yield _packed(own, cell[order][starts], g=(g[order], cuts), k=(keys[order], cuts))
             text = np.repeat(np.arange(len(codes)), lengths)
-            home = np.zeros(len(text), bool)
-            home[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-            o, pos = (np.concatenate(v) if v else np.empty(0, np.uint64) for v in (codes, places))
-            limits = partner_limits(n[text], pos, threshold) if len(o) else np.empty(0, np.uint8)
-            rank = (o >> np.uint64(56)).astype(np.int64)
-            hot = rank >= hot_class
+            o, pos = np.concatenate(codes), np.concatenate(places)
+            limits = partner_limits(n[text], pos, threshold)
+            hot = (o >> np.uint64(56)).astype(np.int64) >= hot_class
             o = _mixed(o)
-            at = o >> np.uint64(32)
-            if hot.any():
-                own = g.view(np.uint64)[text]
-                salt = (((o ^ own) * np.uint64(0x94D049BB133111EB)) >> np.uint64(33)) % salts[rank]
-                at = np.where(hot, at + salt, at)
-            s = np.array([shards[0], shards[1]], np.uint64)[sides][text] if len(text) else np.empty(0, np.uint64)
-            shard = (at % s).astype(np.int64) + np.where(sides[text] == 1, shards[0], 0)
-            width = shards[0] + shards[1]
-            home_shard = np.full(len(codes), -1)
-            home_shard[text[home]] = shard[home]
-            kept = np.array(fresh, bool)[text] | home  # of a group met before, one row with the key only
-            only_key = ~np.array(fresh, bool)
-            cell = (text * width + shard)[kept]  # one row a text and shard
-            order = np.argsort(cell, kind="stable")
-            cell, o, hot, limits = cell[order], o[kept][order], hot[kept][order], limits[kept][order]
-            starts = np.flatnonzero(np.diff(cell, prepend=-1))
-            row_text, row_shard = cell[starts] // width, cell[starts] % width
-            real = ~only_key[cell // width] if len(cell) else np.empty(0, bool)
-            cuts = np.append(starts, len(cell))
-            cold, hot = real & ~hot, real & hot
-            cold_cuts, hot_cuts = (np.concatenate(([0], np.cumsum(m)))[cuts] for m in (cold, hot))
-            keyed = row_shard == home_shard[row_text]
-            cols = [
-                pa.array(row_shard.astype(np.int32)),
-                pa.array(g[row_text]),
-                b.column(1).cast(pa.binary()).take(pa.array(row_text, mask=~keyed)),
-                pa.array(n[row_text].astype(np.int32)),
-                binary((o[cold] & np.uint64(0xFFFFFFFF)).astype(np.uint32), cold_cuts),
-                binary(limits[cold], cold_cuts),
-                binary(o[hot], hot_cuts),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["shard", "g", "k", "n", "tokens", "limits", "hot"])
-
-    return texts.select("side", "k", "text").mapInArrow(emit, "shard int, g bigint, k binary, n int, tokens binary, limits binary, hot binary")
-
-
-def _chained(tokens: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-    """Codes of the neighbours among the owners of each token; both arrays sorted by token, then owner."""
+            cell = cell[text] + ((o >> np.uint64(32)) % np.uint64(PARTS)).astype(np.int64)
+            for kind, to in ((~hot, every), (hot, own)):
+                mine = np.flatnonzero(kind & fresh[text])
+                if not len(mine):
+                    continue
+                mine = mine[np.lexsort((text[mine], cell[mine]))]
+                cell_, text_ = cell[mine], text[mine]
+                heads = np.flatnonzero((np.diff(cell_, prepend=-1) != 0) | (np.diff(text_, prepend=-1) != 0))  # one a group and cell
+                rows = np.flatnonzero(np.diff(cell_[heads], prepend=-1))
+                group_cuts, token_cuts = np.append(rows, len(heads)), np.append(heads[rows], len(mine))
+                tokens = (o[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                cols = {"g": (g[text_[heads]], group_cuts), "n": (n[text_[heads]].astype(np.int32), group_cuts), "lengths": (np.diff(np.append(heads, len(mine))).astype(np.int32), group_cuts), "tokens": (tokens, token_cuts)}
+                yield _packed(to, cell_[heads][rows], **cols, **({"limits": (limits[mine], token_cuts)} if to is every else {}))
+
+    return texts.select("side", "k", "text").mapInArrow(emit, _PREFIX)
+
+
+def _chained(tokens: np.ndarray, owner: np.ndarray, size: int, fits) -> np.ndarray:
+    """Codes of the neighbours among the owners of each token that fit; both arrays sorted by token, then owner."""
     next_ = np.flatnonzero(tokens[1:] == tokens[:-1])
-    codes = owner[next_] * size + owner[next_ + 1]
-    return np.unique(codes[owner[next_] != owner[next_ + 1]])
+    a, b = owner[next_].astype(np.int64), owner[next_ + 1].astype(np.int64)
+    return np.unique((a * size + b)[(a != b) & fits(a, b)])
 
 
-def shard_pairs(n: np.ndarray, tokens: np.ndarray, owner: np.ndarray, limits: np.ndarray, hot: np.ndarray, hot_owner: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of one shard as codes ``i * len(n) + j``, i < j, with their numbers of shared tokens, and the (token, owner) set aside.
+def shard_pairs(n: np.ndarray, tokens: np.ndarray, owner: np.ndarray, limits: np.ndarray, second: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one task as codes ``i * len(n) + j``, i < j, with their numbers of shared tokens, and the (token, owner) set aside.
 
-    Owners are numbered in order of size n, fewer than 2**24.  Tokens of up to
-    RUN owners are paired out, others chained; chained pairs count as certain.
+    Owners are numbered in order of size n, fewer than 2**24.  Where second tells the
+    owners of the second block, pairs within a block are left to other tasks.  Tokens of
+    up to RUN owners are paired out, others chained; chained pairs count as certain.
     """
     entries = (tokens.astype(np.uint64) << np.uint64(32)) | (owner.astype(np.uint64) << np.uint64(8)) | limits.astype(np.uint64)
     entries.sort()
-    tokens, owner, limits = (entries >> np.uint64(32)).astype(np.uint32), ((entries >> np.uint64(8)) & np.uint64(_OWNERS - 1)).astype(np.int32), (entries & np.uint64(255)).astype(np.int64)
+    tokens, owner, limits = (entries >> np.uint64(32)).astype(np.uint32), ((entries >> np.uint64(8)) & np.uint64(_OWNERS - 1)).astype(np.int32), (entries & np.uint64(255)).astype(np.uint8)
     del entries
+    fits = (lambda a, b: a != b) if second is None else (lambda a, b: second[a] != second[b])
     size = np.int64(max(1, len(n)))
     again = tokens[1:] == tokens[:-1]  # entry i + 1 has the token of entry i
     starts = np.flatnonzero(np.concatenate(([True], ~again))) if len(tokens) else np.empty(0, np.int64)
@@ -317,111 +349,129 @@ def shard_pairs(n: np.ndarray, tokens: np.ndarray, owner: np.ndarray, limits: np
     aside = np.repeat(lengths > RUN, lengths)
     short = lengths[lengths <= RUN]
     blocks = max(1, -(-int((short * (short - 1) // 2).sum()) // PAIRS))
-    h = np.argsort(hot, kind="stable")
-    chain = np.unique(np.concatenate((_chained(tokens[aside], owner[aside].astype(np.int64), size), _chained(hot[h], hot_owner[h], size))))
+    del starts, lengths, short
+    chain = _chained(tokens[aside], owner[aside], size, fits)
     base = np.flatnonzero(again & ~aside[1:]) if len(tokens) else np.empty(0, np.int64)
     out, counts = [chain], [np.full(len(chain), _CERTAIN, np.int64)]
+    least = part_least(n)
     for block in range(blocks):  # the pairs of one text fall into one block
         held, d = [], 1
-        active = base[owner[base] % blocks == block]
+        active = base[owner[base] % blocks == block] if blocks > 1 else base
         while len(active):  # pairs of equal tokens at distance d, for growing d
             a, b = owner[active], owner[active + d]
             na, nb = n[a], n[b]  # na <= nb
             near = (nb * 128 <= limits[active] * na) & (na >= threshold * nb - 1e-9)  # beyond it all are too large
-            fits = near & (na * 128 <= limits[active + d] * nb) & (a != b)
-            held.append(a[fits] * size + b[fits])
+            good = near & (na * 128 <= limits[active + d] * nb) & fits(a, b)
+            held.append(a[good] * size + b[good])
             d += 1
             active = active[near]
             active = active[active + d < len(tokens)]
             active = active[tokens[active] == tokens[active + d]]
         codes, shared = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64),) * 2
-        out.append(codes)
-        counts.append(shared)
-    return np.concatenate(out), np.concatenate(counts), np.concatenate((tokens[aside].astype(np.int64), hot.view(np.int64))), np.concatenate((owner[aside].astype(np.int64), hot_owner))
+        enough = shared >= least[codes // size]
+        out.append(codes[enough])
+        counts.append(shared[enough])
+    return np.concatenate(out), np.concatenate(counts), tokens[aside].astype(np.int64), owner[aside].astype(np.int64)
 
 
 _FOUND = "side int, a bigint, b bigint, n int, shared int, k binary, token bigint"
 _FOUND_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
 
 
-def _collapsed(got: pa.Table) -> pa.Table:
-    """Rows with tokens, one a group; equal ids of unlike content (a hash collision) stay apart."""
-    got = got.filter(pa.array(np.array([len(x) > 0 for x in got.column("tokens").to_pylist()]) | np.array([len(x) > 0 for x in got.column("hot").to_pylist()]), pa.bool_())).combine_chunks() if got.num_rows else got
-    g = got.column("g").to_numpy()
+def _collapsed(g: np.ndarray, n: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Which groups are kept, each once; equal ids of unlike content (a hash collision) stay apart."""
     order = np.argsort(g, kind="stable")
-    again = np.flatnonzero(np.concatenate(([False], g[order][1:] == g[order][:-1])))
-    drop = set()
-    for i in again.tolist():
-        j = i - 1
-        while j >= 0 and g[order[j]] == g[order[i]] and int(order[i]) not in drop:
-            if int(order[j]) not in drop and all(got.column(c)[int(order[i])] == got.column(c)[int(order[j])] for c in ("n", "tokens", "hot")):
-                drop.add(int(order[i]))
-            j -= 1
-    return got.take(pa.array([i for i in range(got.num_rows) if i not in drop])).combine_chunks() if drop else got
+    ends = np.cumsum(lengths)
+    keep = np.ones(len(g), bool)
+    for at in np.flatnonzero(g[order][1:] == g[order][:-1]).tolist():
+        i, before = int(order[at + 1]), at
+        while before >= 0 and g[order[before]] == g[i] and keep[i]:
+            j = int(order[before])
+            keep[i] = not (keep[j] and n[i] == n[j] and np.array_equal(tokens[ends[i] - lengths[i] : ends[i]], tokens[ends[j] - lengths[j] : ends[j]]))
+            before -= 1
+    return keep
 
 
-def _shared(rows: DataFrame, shards: dict[int, int], threshold: float) -> DataFrame:
-    """Of each shard: counts ``(side, a, b, n, shared)``, tokens set aside ``(side, a, n, token)``, members ``(side, a, k)``."""
+def _shared(rows: DataFrame, blocks: dict[int, int], width: int, threshold: float) -> DataFrame:
+    """Of each task: counts ``(side, a, b, n, shared)``, tokens set aside ``(side, a, n, token)``, members ``(side, a, k)``; rows have their task as ``task``, with width partitions."""
+    tasks = [(side, part, i, j) for side in (0, 1) for part in range(PARTS) for i, j in block_pairs(blocks[side])]
 
     def batch(m: int, side: int, **cols):
         full = [pa.array(np.full(m, side, np.int32)) if f == "side" else pa.nulls(m, t) if f not in cols else cols[f] if isinstance(cols[f], pa.Array) else pa.array(cols[f], t) for f, t in zip([f.split()[0] for f in _FOUND.split(", ")], _FOUND_TYPES, strict=True)]
         return pa.RecordBatch.from_arrays(full, [f.split()[0] for f in _FOUND.split(", ")])
 
-    def work(shard: int, held: list[pa.RecordBatch]):
-        side = int(shard >= shards[0])
-        got = pa.Table.from_batches(held).combine_chunks()
+    def set_aside(side: int, part: int, g: np.ndarray, n: np.ndarray, token: np.ndarray, who: np.ndarray):
+        for at in range(0, len(token), 50_000):
+            w = who[at : at + 50_000]
+            yield batch(len(w), side, a=g[w], n=n[w].astype(np.int32), token=token[at : at + 50_000].astype(np.int64) | np.int64(part) << np.int64(32))
+
+    def counted(side: int, g: np.ndarray, n: np.ndarray, codes: np.ndarray, shared: np.ndarray):
+        for at in range(0, len(codes), 50_000):
+            a, b = np.divmod(codes[at : at + 50_000], max(1, len(n)))
+            yield batch(len(a), side, a=np.minimum(g[a], g[b]), b=np.maximum(g[a], g[b]), n=n[a].astype(np.int32), shared=shared[at : at + 50_000].astype(np.int32))
+
+    def joined(got: list[tuple]) -> tuple:
+        """Groups in order of size, and their tokens, owners and limits."""
+        g, n, lengths, tokens, limits = (np.concatenate(x) for x in zip(*got, strict=True))
+        got.clear()
+        keep = _collapsed(g, n, lengths, tokens)
+        if not keep.all():
+            held = np.repeat(keep, lengths)
+            g, n, lengths, tokens, limits = g[keep], n[keep], lengths[keep], tokens[held], limits[held] if len(limits) else limits
+        order = np.argsort(n, kind="stable")
+        rank = np.empty(len(n), np.int32)
+        rank[order] = np.arange(len(n))
+        return g[order], n[order].astype(np.int64), tokens, np.repeat(rank, lengths), limits
+
+    def work(task: int, held: list[pa.RecordBatch]):
+        side, part, i, j = tasks[task]
+        cold, hot = [], []
+        for b in held:
+            g, n, lengths, tokens, limits, k = b.columns[1:]
+            members = pa.compute.is_valid(k)
+            if pa.compute.any(members).as_py():
+                a, keys = flat(g.filter(members))[0].view(np.int64), flat(k.filter(members))[0].tobytes()
+                yield batch(len(a), side, a=a, k=pa.array([keys[at : at + 16] for at in range(0, len(keys), 16)], pa.binary()))
+            ordinary = pa.compute.is_valid(limits)
+            for to, mine in ((cold, ordinary), (hot, pa.compute.invert(pa.compute.or_(ordinary, members)))):
+                if pa.compute.any(mine).as_py():
+                    to.append((flat(g.filter(mine))[0].view(np.int64), flat(n.filter(mine))[0].view(np.int32), flat(lengths.filter(mine))[0].view(np.int32), flat(tokens.filter(mine))[0].view(np.uint32), flat(limits.filter(mine))[0] if to is cold else np.empty(0, np.uint8)))
         held.clear()
-        named = got.filter(pa.array(np.array([x is not None for x in got.column("k").to_pylist()], bool))).combine_chunks()
-        for at in range(0, named.num_rows, 50_000):
-            part = named.slice(at, 50_000).combine_chunks()
-            yield batch(part.num_rows, side, a=part.column("g").chunk(0), k=part.column("k").chunk(0).cast(pa.binary()))
-        del named
-        got = _collapsed(got.drop_columns(["k", "shard"]))
-        if not got.num_rows:
-            return
-        got = got.take(pa.array(np.argsort(got.column("n").to_numpy(), kind="stable"))).combine_chunks()
-        g, n = got.column("g").to_numpy(), got.column("n").to_numpy().astype(np.int64)
-        (tokens, t_len), (limits, _), (hot, h_len) = (flat(got.column(c).chunk(0)) for c in ("tokens", "limits", "hot"))
-        del got
-        owner, hot_owner = np.repeat(np.arange(len(n)), t_len // 4), np.repeat(np.arange(len(n)), h_len // 8)
-        tokens, hot = tokens.view(np.uint32), hot.view(np.uint64)
-        splits = -(-len(n) // _OWNERS)
-        for i in range(splits):
-            mine = slice(None) if splits == 1 else np.flatnonzero(tokens % splits == i)
-            own, back = (owner, np.arange(len(n))) if splits == 1 else tuple(reversed(np.unique(owner[mine], return_inverse=True)))
-            last = i + 1 == splits and splits == 1
-            codes, shared, token, who = shard_pairs(n[back], tokens[mine], own, limits[mine], hot if last else hot[:0], hot_owner if last else hot_owner[:0], threshold)
-            size = max(1, len(back))
-            for at in range(0, len(codes), 50_000):
-                a, b = back[codes[at : at + 50_000] // size], back[codes[at : at + 50_000] % size]
-                ga, gb = g[a], g[b]
-                yield batch(len(a), side, a=np.minimum(ga, gb), b=np.maximum(ga, gb), n=n[a].astype(np.int32), shared=shared[at : at + 50_000].astype(np.int32))
-            if len(token):
-                token = np.where(np.arange(len(token)) < len(token) - (len(hot) if last else 0), token | np.int64(shard) << np.int64(32), token)
-            for at in range(0, len(token), 50_000):
-                w = back[who[at : at + 50_000]]
-                yield batch(len(w), side, a=g[w], n=n[w].astype(np.int32), token=token[at : at + 50_000])
+        if hot:
+            g, n, tokens, owner, _ = joined(hot)
+            order = np.lexsort((owner, tokens))
+            chain = _chained(tokens[order], owner[order], max(1, len(n)), lambda a, b: a != b)
+            yield from counted(side, g, n, chain, np.full(len(chain), _CERTAIN))
+            yield from set_aside(side, part, g, n, tokens, owner)
+        if cold:
+            g, n, tokens, owner, limits = joined(cold)
+            if len(n) >= _OWNERS:
+                raise ValueError(f"{len(n)} groups in one task")
+            second = None if i == j else (_mixed(g.view(np.uint64)) % np.uint64(blocks[side])).astype(np.int64) == j
+            codes, shared, token, who = shard_pairs(n, tokens, owner, limits, second, threshold)
+            yield from counted(side, g, n, codes, shared)
+            yield from set_aside(side, part, g, n, token, who)
 
     def run(batches):
-        shard, held = None, []
+        task, held = None, []
         for b in batches:
             s = b.column(0).to_numpy()
             cuts = np.flatnonzero(np.diff(s)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(s)], strict=True):
                 if hi > lo:
-                    if s[lo] != shard and held:
-                        yield from work(shard, held)
-                    shard = int(s[lo])
+                    if s[lo] != task and held:
+                        yield from work(task, held)
+                    task = int(s[lo])
                     held.append(b.slice(lo, hi - lo))
         if held:
-            yield from work(shard, held)
+            yield from work(task, held)
 
-    return rows.repartitionById(shards[0] + shards[1], F.col("shard")).mapInArrow(run, _FOUND)
+    return rows.repartitionById(width, F.col("task") % width).mapInArrow(run, _FOUND)
 
 
 def _need(n, of: float = 2.0):
     """Tokens that a pair with the smaller size n must share among those not set aside."""
-    return F.ceil(F.greatest(F.lit(1), F.least(F.lit(OVERLAP), F.floor(n / 16))) / of)
+    return F.ceil(F.greatest(F.lit(1), F.least(F.lit(OVERLAP), F.floor(n / STEP))) / of)
 
 
 def likeness(a: bytes, b: bytes) -> tuple[int, int]:
@@ -443,9 +493,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "side int, a binary, b binary")
 
 
-def shard_counts(load: dict[int, float], cores: int) -> dict[int, int]:
-    """Token shards of each side; neither candidates nor results depend on their number."""
-    return {side: max(math.ceil(load.get(side, 0) / SHARD_TOKENS), min(cores // 2 or 1, math.ceil(load.get(side, 0) / 500_000)), 1) for side in (0, 1)}
+def shard_counts(load: dict[int, float]) -> dict[int, int]:
+    """Blocks of groups of each side; neither candidates nor results depend on their number."""
+    return {side: max(math.ceil(load.get(side, 0) / PARTS / BLOCK_TOKENS), 1) for side in (0, 1)}
 
 
 def shared_counts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -453,15 +503,31 @@ def shared_counts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = texts.sparkSession
     chars = {r.side: r.chars for r in texts.groupBy("side").agg(F.sum(F.length("text")).alias("chars")).collect()}
     bits = min(SLOT_BITS[1], max(SLOT_BITS[0], math.ceil(math.log2(sum(chars.values()) / 16 + 1))))
-    shards = shard_counts({side: n * (1 - threshold) for side, n in chars.items()}, spark.sparkContext.defaultParallelism)
+    blocks = shard_counts({side: n * (1 - threshold) for side, n in chars.items()})
     classes = spark.sparkContext.broadcast(frequency_classes(texts, bits))
-    return stash(_shared(_prefix_rows(texts, classes, shards, threshold), shards, threshold), "shared")
+    rows = _prefix_rows(texts, classes, blocks, threshold)
+    tasks = PARTS * sum(len(block_pairs(n)) for n in blocks.values())
+    waves = math.ceil(max(blocks.values()) / COPIES)  # a block goes to as many tasks of a part as there are blocks
+    rows = stash(rows, "prefixes") if waves > 1 else rows
+    sent = rows.select(F.explode("to").alias("task"), *[f.split()[0] for f in _PREFIX.split(", ")][1:])
+    out = []
+    for wave in range(waves):
+        lo, hi = tasks * wave // waves, tasks * (wave + 1) // waves
+        out.append(stash(_shared(sent.where(F.col("task").between(lo, hi - 1)), blocks, max(1, hi - lo), threshold), "shared"))
+        if waves > 1:  # the wave's shuffle files go only once the driver collects its garbage
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+    if waves > 1:
+        discard(rows)
+    return reduce(DataFrame.unionByName, out)
 
 
 def group_pairs(found: DataFrame) -> DataFrame:
-    """``(side, a, b)``: pairs of groups whose counts, summed over all shards, reach what they need."""
-    total = found.where("b is not null").groupBy("side", "a", "b").agg(F.sum("shared").alias("shared"), F.min("n").alias("n"))
-    return total.where(F.col("shared") >= _need(F.col("n"))).select("side", "a", "b")
+    """``(side, a, b)``: pairs of groups whose counts may reach what they need; a part not heard of has less than its least."""
+    total = found.where("b is not null").groupBy("side", "a", "b").agg(F.sum("shared").alias("shared"), F.count("*").alias("heard"), F.min("n").alias("n"))
+    need = _need(F.col("n"))
+    rest = (PARTS - F.col("heard")) * (F.ceil(need / PARTS) - 1)
+    return total.where(F.col("shared") + F.greatest(F.lit(0), rest) >= need).select("side", "a", "b")
 
 
 def member_pairs(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
